@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, masked_text, parse_chat
+from .decontam import contamination
 from .exact_dedup import exact_groups
+from .minhash_dedup import NearDupConfig, near_groups
 from .url_filter import UrlRule, judge_urls
 
 URL_RULES = (
@@ -32,6 +34,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), NearDupConfig(width=3, percent=85))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = r"\### Assistant: </turn> ok"
@@ -49,7 +67,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_exact_dedup": op3_exact_dedup, "op8_chat_format": op8_chat_format}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op6_decontaminate, op7_minhash_dedup, op8_chat_format)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -73,6 +91,40 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 WITH d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)
+""",
+    "op6_decontaminate": f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x00-/:-`{{-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x00-/:-`{{-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, w[i:i + 9] AS win, least(len(w), 10) AS span FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), spans AS (SELECT DISTINCT span FROM windows), places AS (
+  SELECT doc_id, w[i:i + span - 1] AS win, i, span FROM (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS i FROM d, spans WHERE len(w) >= span)
+), found AS (
+  SELECT doc_id, item_id, i, span FROM places JOIN windows USING (win, span)
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + span)) AS p FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op7_minhash_dedup": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.size + y.size - common)
+), reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.seen
+)
+SELECT doc_id, coalesce(any_value(size), 0) AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """,
     "op8_chat_format": r"""
 WITH turns AS (
