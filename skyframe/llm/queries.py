@@ -9,6 +9,8 @@ from .chat import format_chats, masked_text, parse_chat
 from .decontam import contamination
 from .exact_dedup import exact_groups
 from .minhash_dedup import NearDupConfig, near_groups
+from .packing import pack
+from .tokens import tokenizer_path
 from .url_filter import UrlRule, judge_urls
 
 URL_RULES = (
@@ -34,6 +36,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, size=2048, with_ids=False)
+    return pieces.drop("ids")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     return found.select(
@@ -67,7 +74,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op6_decontaminate, op7_minhash_dedup, op8_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op6_decontaminate, op7_minhash_dedup, op8_chat_format)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
