@@ -8,12 +8,14 @@ library's own ids.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Kept units per process; beyond that the cache starts anew.
-MAX_UNITS = 300_000
+#: Kept units per generation and process: two generations are kept, and what
+#: is met again moves to the younger one.
+MAX_UNITS = 200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,23 +26,58 @@ def tokenizer_path(name: str) -> str:
 
 
 class _Units:
-    """unit -> its ids as little-endian uint32 bytes; unknown ones in batches."""
+    """unit -> its ids as little-endian uint32 bytes.
+
+    Unknown units of a plain form are strung together and encoded at once; the
+    ids themselves show where each begins or ends.  Others are encoded singly."""
+
+    glue = ""
+    ends_units = False  # whether marked ids end a unit (else they begin one)
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.marked[[n for token, n in vocabulary.items() if self.marks(token)]] = True
         self.ids: dict[str | bytes, bytes] = {}
+        self.older: dict[str | bytes, bytes] = {}
+
+    def marks(self, token: str) -> bool:
+        raise NotImplementedError
+
+    def plain(self, unit) -> bool:
+        raise NotImplementedError
 
     def learn(self, units: set, as_text) -> None:
         if len(self.ids) > MAX_UNITS:
-            self.ids.clear()
-        new = [u for u in units if u not in self.ids]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast([as_text(u) for u in part], add_special_tokens=False)):
-                self.ids[u] = np.array(e.ids, "<u4").tobytes()
+            self.ids, self.older = {}, self.ids
+        ids, older = self.ids, self.older
+        plain, others = [], []
+        for u in units - ids.keys():
+            if u in older:
+                ids[u] = older[u]
+            elif self.plain(u):
+                plain.append(u)
+            else:
+                others.append(u)
+        encode = self.tokenizer.encode_batch_fast
+        for at in range(0, len(plain), 5000):
+            part = plain[at : at + 5000]
+            found = np.array(encode([self.glue.join(map(as_text, part))], add_special_tokens=False)[0].ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.marked[found]) + self.ends_units)
+            bounds = [0, *cuts.tolist()] if self.ends_units else [*cuts.tolist(), 4 * len(found)]
+            if len(bounds) != len(part) + 1:
+                others += part
+                continue
+            raw = found.tobytes()
+            ids.update(zip(part, [raw[i:j] for i, j in zip(bounds, bounds[1:])]))
+        for at in range(0, len(others), 5000):
+            part = others[at : at + 5000]
+            for u, e in zip(part, encode(list(map(as_text, part)), add_special_tokens=False)):
+                ids[u] = array("I", e.ids).tobytes()
 
 
 class ByteLevelIds(_Units):
@@ -49,6 +86,12 @@ class ByteLevelIds(_Units):
     other than white space: whatever stands before is split as if the text ended
     there.  Special strings are cut out first, as the library does."""
 
+    def marks(self, token: str) -> bool:
+        return token.startswith("\u0120")  # the space
+
+    def plain(self, unit: str) -> bool:
+        return unit[0] == " " and unit.split() == [unit[1:]] and unit[1:] not in self.special
+
     _cut = re.compile(r"(?= \S)")
     _odd = re.compile(r" (?!\S)")
 
@@ -75,6 +118,15 @@ class WordIds(_Units):
     """For BPE on words, white space dropped: ASCII white space is never part of a
     token nor of any normal form, so texts are cut there."""
 
+    glue = " "
+    ends_units = True
+
+    def marks(self, token: str) -> bool:
+        return token.endswith("</w>")
+
+    def plain(self, unit: bytes) -> bool:
+        return unit.isalpha()  # ASCII letters: one word
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
         return _joined(self, cut, bytes.decode)
