@@ -10,6 +10,7 @@ from .decontam import contamination
 from .exact_dedup import exact_groups
 from .minhash_dedup import NearDupConfig, near_groups
 from .packing import pack
+from .token_fst import token_counts
 from .tokens import tokenizer_path
 from .url_filter import UrlRule, judge_urls
 
@@ -74,7 +75,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op6_decontaminate, op7_minhash_dedup, op8_chat_format)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op6_decontaminate, op7_minhash_dedup, op8_chat_format, op9_token_counts)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
