@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .chat import format_chats, masked_text, parse_chat
 from .decontam import contamination
 from .exact_dedup import exact_groups
@@ -80,7 +81,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op6_decontaminate, op7_minhash_dedup, op8_chat_format, op9_token_counts)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op6_decontaminate, op7_minhash_dedup, op8_chat_format, op9_token_counts, op10_toxicity)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
