@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import lower_ascii
+from .text import lower_ascii, packed, unpacked
 
 #: What separates words once A-Z are lower-cased: all of ASCII but 0-9 and a-z.
 SEPARATORS = r"[\x00-/:-`{-\x7F]+"
@@ -123,7 +123,10 @@ def _covered(spans: str) -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any hit, with all columns.  A row is known by
     its id and text, so clean rows stay even if another row repeats their id."""
-    found = contamination(docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h")).alias("doc_id"), F.col(text_col).alias("text")), items, width)
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    found = contamination(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")), items, width)
     bad = found.where("contaminated").select(F.col("doc_id.id").alias("_bad"), F.col("doc_id.h").alias("_bad_h")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_bad_h"))
-    return docs.join(bad, same, "left_anti")
+    bad = Scratch(docs.sparkSession, "decontam-drop").save(bad, "bad")
+    rows = packed(docs, _id=F.col(id_col), _h=F.xxhash64(F.col(text_col).cast("string")))
+    same = F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_h") == F.col("_bad_h"))
+    return unpacked(rows.join(bad, same, "left_anti"), docs.columns)

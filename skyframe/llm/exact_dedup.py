@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch, is_empty
-from .text import lower_ascii, or_empty
+from .text import lower_ascii, or_empty, packed, unpacked
 
 #: A digest with 1/HOT_SHARE of all rows is salted, so there are HOT_SHARE at most.
 HOT_SHARE = 1000
@@ -91,18 +91,19 @@ def _kept(groups: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; one row of each group.
 
-    Of repeated rows with the id that stays, one is returned; which of them is
-    settled by the largest row as a whole, so the result is the same each run.
-    Rows with a null id are compared like others and stay only if no other id
-    has the text.
+    Of repeated rows with the id that stays one is returned, the largest as a
+    whole, so the result is the same each run.  Rows with a null id are compared
+    like others and stay only if no other id has the text.
     """
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("keep_id").alias("_keep_id"), "digest").distinct()
+    scratch = Scratch(docs.sparkSession, "dedup")
+    groups = exact_groups(docs, id_col, text_col)
+    told = scratch.save(groups.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "told")
     norm = lower_ascii(or_empty(F.col(text_col)))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.encode(norm, "utf-8"), 256)))
-    winners = keyed.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("digest")), "left_semi")
-    columns = docs.columns
-    if is_empty(winners.groupBy(id_col, "_digest").count().where("count > 1")):
-        return winners.select(*columns)
-    once = winners.groupBy(F.col(id_col), F.col("_digest")).agg(F.max(F.struct(*[F.col(c) for c in columns])).alias("_row")).select("_row.*")
-    return once.select(*columns)
-
+    rows = packed(docs, _id=F.col(id_col), _digest=F.unhex(F.sha2(F.encode(norm, "utf-8"), 256)))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest"))
+    out = rows.join(told.where("not kept"), same, "left_anti")
+    repeated = told.where("kept")
+    if not is_empty(repeated):
+        once = out.join(repeated, same, "left_semi").groupBy("_id", "_digest").agg(F.max("_in").alias("_in"))
+        out = out.join(repeated, same, "left_anti").select("_in").unionByName(once.select("_in"))
+    return unpacked(out, docs.columns)

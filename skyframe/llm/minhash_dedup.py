@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .sketch import Sketcher, plan_bands, sequence_key, sketch_limit, words_of
 from .store import Scratch
+from .text import packed, unpacked
 
 #: Bits of a whole set's parity bitmap, and classes along the side of a block.
 SET_BITS = 2048
@@ -238,5 +239,6 @@ def _block_pairs(rows: DataFrame, config: NearDupConfig) -> DataFrame:
 def dedup(docs: DataFrame, config: NearDupConfig = NearDupConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component that with the least id,
     with all columns.  Rows with a null id stay."""
-    gone = near_groups(docs, config, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, config, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = Scratch(docs.sparkSession, "near-dedup").save(gone, "gone")
+    return unpacked(packed(docs, _id=F.col(id_col).cast("long")).join(gone, F.col("_id") == F.col("_gone"), "left_anti"), docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
@@ -12,8 +12,10 @@ from .exact_dedup import exact_groups
 from .minhash_dedup import NearDupConfig, near_groups
 from .packing import pack
 from .token_fst import token_counts
+from .store import Scratch
 from .tokens import tokenizer_path
 from .url_filter import UrlRule, judge_urls
+from .warc import audit, copy_replica, write_warc
 
 URL_RULES = (
     UrlRule("com/", "allow"),
@@ -33,6 +35,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def planted_damage(page_id: Column) -> Column:
+    """The records that the second replica of :func:`op2_warc_fixity` has damaged."""
+    return F.pmod(F.crc32(F.encode(page_id.cast("string"), "utf-8")), F.lit(50)) == 0
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC, a second replica with planted damage, and its audit."""
+    scratch = Scratch(spark, "warc")
+    roots = scratch.path("replica-a"), scratch.path("replica-b")
+    manifest = scratch.save(write_warc(table(spark, sf_dir, "pages"), roots[0]), "manifest")
+    scratch.save(copy_replica(manifest, *roots, planted_damage(F.col("page_id"))), "copies")
+    found = audit(manifest, roots, scratch)
+    return found.select("page_id", "file", "place", "offset", "length", F.lower(F.hex("sha256")).alias("sha256"), "intact_a", "intact_b")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -87,7 +104,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op6_decontaminate, op7_minhash_dedup, op8_chat_format, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_fixity, op3_exact_dedup, op4_packing, op6_decontaminate, op7_minhash_dedup, op8_chat_format, op9_token_counts, op10_toxicity)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -3,8 +3,8 @@
 Fit (on a bounded sample of labelled rows):
 
 * A word's weight is its log-odds ratio between toxic and clean documents with an
-  informative Dirichlet prior (the word's share of all documents, ``prior``
-  documents strong); only weights of ``min_z`` standard deviations and seen in
+  informative Dirichlet prior (the word's share of all documents, as strong as a
+  share ``prior`` of the sample); only weights of ``min_z`` standard deviations and seen in
   ``min_docs`` toxic documents count.  Words without one fall back to the weight
   of their first letters, found alike.  Near copies count once, so that a text
   that is often copied does not make its own words toxic.
@@ -33,6 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import Scratch
+from .text import packed, unpacked
+
 _WORD = re.compile(r"\w+")
 #: Scores of units kept per process.
 MAX_UNITS = 400_000
@@ -45,8 +48,8 @@ class ToxicityConfig:
 
     max_train: int = 40_000
     stem: int = 5
-    prior: float = 200.0
-    min_docs: int = 4
+    prior: float = 0.0125
+    min_docs: int = 3
     min_z: float = 2.0
     min_weight: float = 1.5
     gap_cost: float = 0.5
@@ -66,22 +69,21 @@ class ToxicityModel:
 def maximal_segments(places: list[int], weights: list[float], gap_cost: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last place, score) of a sequence in
     which ``places`` have positive ``weights`` and all others cost ``gap_cost``."""
-    stack: list[list[float]] = []  # first, last, sum before, sum up to
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum up to, nearest earlier that begins lower
     total, before = 0.0, -1
     for place, weight in zip(places, weights):
         total -= gap_cost * (place - before - 1)
-        left, total, before = total, total + weight, place
-        first = place
-        while True:  # join with the nearest earlier segment that begins lower and ends lower
+        first, left, total, before = place, total, total + weight, place
+        while True:  # join with the nearest earlier segment that begins lower, if it ends lower
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= total:
-                stack.append([first, place, left, total])
+                stack.append((first, place, left, total, j))
                 break
-            first, left = int(stack[j][0]), stack[j][2]
+            first, left = stack[j][0], stack[j][2]
             del stack[j:]
-    return [(int(a), int(b), up - low) for a, b, low, up in stack]
+    return [(a, b, up - low) for a, b, low, up, _ in stack]
 
 
 class Scanner:
@@ -194,8 +196,9 @@ def _count_features(train: DataFrame, config: ToxicityConfig) -> DataFrame:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """(log-odds ratio, its z) with a Dirichlet prior of ``prior`` documents."""
-    a = prior * (toxic + clean) / (n_toxic + n_clean)
+    """(log-odds ratio, its z) with a Dirichlet prior worth ``prior`` of the sample."""
+    a = prior * (toxic + clean)
+    prior = prior * (n_toxic + n_clean)
     up, down = toxic + a, clean + a
     ratio = np.log(up / np.maximum(n_toxic + prior - up, 0.5)) - np.log(down / np.maximum(n_clean + prior - down, 0.5))
     return ratio, ratio / np.sqrt(1 / up + 1 / down)
@@ -237,8 +240,6 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     disagree on an id the larger counts.  Without rows of both kinds the model
     scores every text alike, by the share of toxic rows.
     """
-    from .store import Scratch
-
     scratch = Scratch(docs.sparkSession, "toxicity")
     train = scratch.save(_training(docs, labels, config, id_col, text_col, label_col), "train")
     counts = scratch.save(_count_features(train.where("fold > 1"), config), "counts")
@@ -319,5 +320,5 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
 def drop_toxic(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their own columns."""
     model = fit(docs, labels, config, id_col, text_col)
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_in"), F.col(text_col).alias("_text"))
-    return score(packed, model, "_text").where("predicted = 0").select(*[F.col(f"_in.{c}").alias(c) for c in docs.columns])
+    rows = packed(docs, _text=F.col(text_col))
+    return unpacked(score(rows, model, "_text").where("predicted = 0"), docs.columns)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import lower_ascii
+from .text import lower_ascii, packed, unpacked
 
 _ONE = np.uint64(1)
 
@@ -158,6 +158,4 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], url_col: str = "url",
 
 def filter_urls(pages: DataFrame, rules: Sequence[UrlRule], url_col: str = "url", default: str = "allow") -> DataFrame:
     """The rows of ``pages`` whose url is allowed, with their own columns."""
-    keys = [F.col(f"_in.{c}") for c in pages.columns]
-    packed = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("_in"), F.col(url_col).alias("_url"))
-    return judge_urls(packed, rules, "_url", default).where("verdict = 'allow'").select(*keys)
+    return unpacked(judge_urls(packed(pages, _url=F.col(url_col)), rules, "_url", default).where("verdict = 'allow'"), pages.columns)
