@@ -56,7 +56,7 @@ class _Units:
             self.ids, self.older = {}, self.ids
         ids, older = self.ids, self.older
         plain, others = [], []
-        for u in units - ids.keys():
+        for u in [u for u in units if u not in ids]:
             if u in older:
                 ids[u] = older[u]
             elif self.plain(u):

@@ -108,7 +108,7 @@ class Scanner:
         known = self.known
         if len(known) > MAX_UNITS:
             known.clear()
-        for u in set(units) - known.keys():
+        for u in {u for u in units if u not in known}:
             known[u] = self._weight(u)
         weights = list(map(known.__getitem__, units))
         if not any(weights):
