@@ -12,6 +12,9 @@ partition, their contents are poured together and cut freely into full windows;
 what then remains is cut into lengths that are powers of two, which need no
 padding.  So no task pads at all, and a task holds ``max_open`` x W ids at most
 besides one batch of texts.
+
+Ids are those of the tokenizers library for a byte-level BPE file, made by the
+compiled transducer of :mod:`token_fst`, which is several times faster.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import byte_level
+from .token_fst import transducer
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -138,7 +141,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, encoder = SumOfSquaresPacker(size, max_open), byte_level(tokenizer_file)
+        packer, encoder = SumOfSquaresPacker(size, max_open), transducer(tokenizer_file, counting=False)
         end = np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 40
 
@@ -157,9 +160,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
                     packer.add(doc_id, ids + end)
                 if packer.closed:
                     yield rows(packer.take())

@@ -6,14 +6,14 @@ over bytes.  Write L(i) for the last token of the encoding of a word's first i
 bytes and c(i) for its length.  Then c(i) = c(i - |L(i)|) + 1, and L(i) is the
 only token that ends at i and may stand after L(i - |L(i)|), where two tokens may
 stand side by side if encoding their text gives just them.  So what the future
-needs of the past is a window: for each of the last d places their L and their c
-relative to c(i), d being the length of the longest end that some token starts
-with.  Such windows are the states.  A transition by a byte carries the number
+needs of the past is a window: for each of the last d places at which some token
+may begin, its L and its c relative to c(i), d being the length of the longest end
+that some token starts with.  Such windows are the states.  A transition by a byte carries the number
 c(i + 1) - c(i); another one, by a byte that ends the word, the number that
 completes the word's count, back to the start state.
 
 States are made when first met (a lazy automaton), so only what texts need is
-compiled; past ``MAX_STATES`` the automaton starts anew.
+compiled; past a bound the automaton starts anew.
 
 Texts are strung together and cut into chunks of one length, which advance in
 step, one table lookup per byte for thousands of chunks.  A chunk's state map is
@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The automaton starts anew beyond this many states (about 1 KB each).
-MAX_STATES = 120_000
+#: The automaton starts anew beyond this many states: about 1 KB each while
+#: counting, 0.5 KB for ids alone.
+MAX_STATES, MAX_ID_STATES = 130_000, 260_000
 #: Bytes of text that are counted at once, and chunks that advance in step.
 BATCH_BYTES, LANES = 4_000_000, 8192
 
@@ -64,47 +65,57 @@ def _byte_symbols() -> list[str]:
 
 
 class BpeTransducer:
-    def __init__(self, file: str) -> None:
+    """``counting``: states also tell counts apart; without, only :meth:`ids` works."""
+
+    def __init__(self, file: str, counting: bool = True) -> None:
+        self.counting = counting
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.mark = model["end_of_word_suffix"]
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.mark = model["end_of_word_suffix"] or ""
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.vocabulary: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {p: n for n, p in enumerate(pairs)}
         self.symbol = _byte_symbols()
-        ended = {s + self.mark for s in self.symbol}
-        self.tokens = set(self.symbol) | ended | {a + b for a, b in pairs}
+        self.tokens = {t for t in {a + b for a, b in pairs} | {s + m for s in self.symbol for m in ("", self.mark)} if t in self.vocabulary}
         self.starts = {t[:k] for t in map(self._text, self.tokens) for k in range(1, len(t))}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._own: dict[str, bool] = {}
+        self._token_sizes: np.ndarray | None = None
         self._reset()
 
     def _text(self, token: str) -> str:
-        return token.removesuffix(self.mark) if len(token) > len(self.mark) else token
+        return token.removesuffix(self.mark) if self.mark and len(token) > len(self.mark) else token
 
     def _reset(self) -> None:
         self.width = 64
-        self.columns = np.full(256, -1, np.int64)
+        self.columns = np.full(256, -1, np.int32)
         self.bytes: list[int] = [-1]  # column 0: a gap
         self.windows: list[tuple] = [("", ((None, 0),)), ("", ())]
         self.number: dict[tuple, int] = {self.windows[START]: START}
         self.next = np.full((1024, self.width), -1, np.int32)
         self.emit = np.zeros((1024, self.width), np.int16)
         self.end = np.full((1024, self.width), np.iinfo(np.int16).min, np.int16)
+        self.final: dict[tuple[int, int], int] = {}  # (state, column): id of the token that ends a word
+        self.last_id: list[int] = [0, 0]  # by state: id of the last token so far
         self.next[:, 0] = START
         self.next[UNKNOWN, 1:] = UNKNOWN
         self.end[UNKNOWN] = 0
 
     def _grow(self, rows: int, width: int) -> None:
         for name, fill in (("next", -1), ("emit", 0), ("end", np.iinfo(np.int16).min)):
+            if name != "next" and not self.counting:
+                continue
             old = getattr(self, name)
             new = np.full((rows, width), fill, old.dtype)
             new[: old.shape[0], : old.shape[1]] = old
             setattr(self, name, new)
         self.width = width
         self.next[:, 0] = START
-        self.next[UNKNOWN, 1:], self.end[UNKNOWN] = UNKNOWN, 0
+        self.next[UNKNOWN, 1:] = UNKNOWN
+        if self.counting:
+            self.end[UNKNOWN] = 0
 
     def encode_symbols(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the pair of the lowest rank first, leftmost first."""
@@ -154,18 +165,27 @@ class BpeTransducer:
         keep = len(text)
         while keep and text[len(text) - keep :] not in self.starts:
             keep -= 1
-        moved = (*((t, c - count) for t, c in places), (token, 0))
-        new = (text[len(text) - keep :], moved[max(0, len(moved) - keep - 1) :])
+        moved = (*places, (token, count))[-keep - 1 :]
+        # a place matters while some token may begin there
+        new = (text[len(text) - keep :], tuple(p and (p[0], p[1] - count) if k == len(moved) - 1 or text[len(text) - len(moved) + 1 + k :] in self.starts else None for k, p in enumerate(moved)))
+        if not self.counting:
+            new = (new[0], tuple(p and (p[0], 0) for p in new[1]))
         to = self.number.get(new)
         if to is None:
             to = self.number[new] = len(self.windows)
             self.windows.append(new)
+            self.last_id.append(self.vocabulary[token])
             if to >= len(self.next):
                 self._grow(2 * len(self.next), self.width)
-        self.next[state, column], self.emit[state, column] = to, count
+        self.next[state, column] = to
+        if self.counting:
+            self.emit[state, column] = count
 
     def _make_end(self, state: int, column: int) -> None:
-        self.end[state, column] = self._last(self.windows[state], self.symbol[self.bytes[column]], self.mark)[1]
+        token, count = self._last(self.windows[state], self.symbol[self.bytes[column]], self.mark)
+        if self.counting:
+            self.end[state, column] = count
+        self.final[state, column] = self.vocabulary[token]
 
     def _column_of(self, values: np.ndarray) -> np.ndarray:
         for b in np.unique(values[self.columns[values] < 0]).tolist():
@@ -232,7 +252,7 @@ class BpeTransducer:
         """(normal form with special strings blanked out, their number)."""
         special = 0
         if any(s in text for s in self.special):
-            text, special = re.subn("|".join(map(re.escape, self.special)), " ", text)
+            text, special = re.subn("|".join(map(re.escape, self.special)), " ", text)  # a cut
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
@@ -253,15 +273,24 @@ class BpeTransducer:
         return [n + s for n, (_, s) in zip(out, pairs)]
 
     def _count_normal(self, texts: list[str]) -> list[int]:
-        if len(self.windows) > MAX_STATES:
-            self._reset()
+        self._fresh()
         sizes = [len(t) + 1 if t.isascii() else len(t.encode()) + 1 for t in texts]
         joined = "\n".join(texts) + "\n"
         data = joined.encode()
-        values = np.frombuffer(data, np.uint8)
-        chars = values.astype(np.uint32) if len(data) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        chars = np.frombuffer(data, np.uint8).astype(np.uint32) if len(data) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         inside, ends = self._word_ends(data, chars)
-        columns = np.where(inside, self._column_of(values), 0)
+        flat = self._run(data, inside, ends, self._advance, mid_end=False)
+        begin = np.cumsum([0, *sizes[:-1]])
+        return np.add.reduceat(flat, begin).tolist() if sizes else []
+
+    def _fresh(self) -> None:
+        if len(self.windows) > (MAX_STATES if self.counting else MAX_ID_STATES):
+            self._reset()
+
+    def _run(self, data: bytes, inside: np.ndarray, ends: np.ndarray, advance, mid_end: bool) -> np.ndarray:
+        """What ``advance`` tells of each byte.  ``mid_end``: the byte that ends a
+        word makes an ordinary transition, too."""
+        columns = np.where(inside, self._column_of(np.frombuffer(data, np.uint8)), 0)
         lanes = max(1, min(LANES, len(data) // 64))
         steps = -(-len(data) // lanes)
 
@@ -269,12 +298,12 @@ class BpeTransducer:
             return np.ascontiguousarray(np.pad(x, (0, lanes * steps - len(x))).reshape(lanes, steps).T)
 
         last, stop, full = laid(columns), laid(ends), laid(inside)
-        inner = np.where(stop, 0, last)
-        counts = np.zeros((steps, lanes), np.int32)
+        inner = last if mid_end else np.where(stop, 0, last)
+        told = np.zeros((steps, lanes), np.int32)
         synced = stop | ~full  # after such a byte the state is START
-        # which lanes begin inside a word
+        closed = synced.any(axis=0)
         first = np.arange(lanes) * steps
-        midway = np.zeros(lanes, bool)
+        midway = np.zeros(lanes, bool)  # lanes that begin inside a word
         valid = (first > 0) & (first < len(data))
         midway[valid] = inside[first[valid]] & ~ends[first[valid] - 1] & inside[first[valid] - 1]
         state = np.where(midway, UNKNOWN, START).astype(np.int64)
@@ -284,31 +313,147 @@ class BpeTransducer:
             row, lane = np.nonzero(mask)
             return np.split(lane, np.searchsorted(row, np.arange(1, mask.shape[0])))
 
-        self._advance(state, acc, inner, last, by_row(stop), counts)
-        head = np.where(synced.any(axis=0), synced.argmax(axis=0) + 1, steps)
+        advance(state, acc, inner, last, by_row(stop), told)
+        head = np.where(closed, synced.argmax(axis=0) + 1, steps)
         left = midway.copy()
         while left.any():  # compose the maps: heads whose entry is known by now
-            ready = np.flatnonzero(left & ~np.concatenate([[False], (left & (head == steps) & ~synced.any(axis=0))[:-1]]))
+            ready = np.flatnonzero(left & ~np.concatenate([[False], (left & ~closed)[:-1]]))
             left[ready] = False
-            q, a = state[ready - 1].copy(), acc[ready - 1].copy()
+            entry, so_far = state[ready - 1].copy(), acc[ready - 1].copy()
             depth = int(head[ready].max())
             rows = np.arange(depth)[:, None] < head[ready]
             part = np.zeros((depth, len(ready)), np.int32)
-            own_stop = stop[:depth, ready] & rows
-            state_in, acc_in = q.copy(), a.copy()
-            self._advance(state_in, acc_in, np.where(rows, inner[:depth, ready], 0), last[:depth, ready], by_row(own_stop), part)
-            open_ = ~synced.any(axis=0)[ready]
-            counts[:depth, ready] = np.where(own_stop, part, counts[:depth, ready])
-            # only a chunk without a word end has another exit now
-            state[ready[open_]], acc[ready[open_]] = state_in[open_], acc_in[open_]
-        flat = counts.T.ravel()[: len(data)]
-        begin = np.cumsum([0, *sizes[:-1]])
-        return np.add.reduceat(flat, begin).tolist() if sizes else []
+            advance(entry, so_far, np.where(rows, inner[:depth, ready], 0), last[:depth, ready], by_row(stop[:depth, ready] & rows), part)
+            told[:depth, ready] = np.where(rows, part, told[:depth, ready])
+            open_ = ~closed[ready]  # only a chunk without a word end has another exit now
+            state[ready[open_]], acc[ready[open_]] = entry[open_], so_far[open_]
+        return told.T.ravel()[: len(data)]
+
+    def _tell_ids(self, state: np.ndarray, acc: np.ndarray, inner: np.ndarray, last: np.ndarray, ends: list[np.ndarray], out: np.ndarray) -> None:
+        """As :meth:`_advance`; tells the state after each byte instead of counts and,
+        where an end mark belongs to a word's last byte, -1 - the id of the last token."""
+        for t in range(len(inner)):
+            lanes = ends[t]
+            if len(lanes) and self.mark:
+                out_ids = [self._final_id(s, x) for s, x in zip(state[lanes].tolist(), last[t, lanes].tolist())]
+            at = state * self.width + inner[t]
+            to = self.next.ravel()[at]
+            if len(to) and to.min() < 0:
+                miss = to < 0
+                for s, x in {*zip(state[miss].tolist(), inner[t][miss].tolist())}:
+                    self._make_next(s, x)
+                to = self.next.ravel()[state * self.width + inner[t]]
+            out[t] = to
+            if len(lanes):
+                if self.mark:
+                    out[t, lanes] = out_ids
+                to[lanes] = START
+            state[:] = to
+
+    def _final_id(self, state: int, column: int) -> int:
+        if state == UNKNOWN:
+            return 0
+        if (state, column) not in self.final:
+            self._make_end(state, column)
+        return -1 - self.final[state, column]
+
+    def _pieces(self, text: str) -> list[str]:
+        """Texts and special strings in turn, as the library cuts them."""
+        if not any(s in text for s in self.special):
+            return [text] if text else []
+        return [p for p in re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if p]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian uint32, for byte-level vocabularies
+        without an end mark, whose words are split by the usual pattern."""
+        pieces = [self._pieces(t or "") for t in texts]
+        flat = [p for doc in pieces for p in doc if p not in self.special]
+        found, at = [], 0
+        while at < len(flat):
+            upto, n = at, 0
+            while upto < len(flat) and (upto == at or n < BATCH_BYTES):
+                n += len(flat[upto])
+                upto += 1
+            found += self._byte_level_ids(flat[at:upto])
+            at = upto
+        turn = iter(found)
+        return [b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else next(turn) for p in doc) for doc in pieces]
+
+    def _byte_level_ids(self, texts: list[str]) -> list[bytes]:
+        self._fresh()
+        joined = "".join(texts)
+        data = joined.encode()
+        chars = np.frombuffer(data, np.uint8).astype(np.uint32) if len(data) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        starts = np.cumsum([0, *(len(t) for t in texts[:-1])])
+        begins = _byte_level_words(chars, starts)
+        ends = np.append(begins[1:], True)
+        bounds = np.append(starts, len(chars))
+        if len(data) != len(chars):
+            width = 1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000)
+            upto = np.cumsum(width, dtype=np.int64)
+            at = np.zeros(len(data), bool)
+            at[upto[ends] - 1] = True
+            ends, bounds = at, np.append(0, upto)[bounds]
+        state = self._run(data, np.ones(len(data), bool), ends, self._tell_ids, mid_end=True)
+        ids = np.array(self.last_id, np.int32)[state]
+        size = self._sizes()[ids]
+        # walk back from each word's end, token by token
+        is_end = np.zeros(len(data), bool)
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:] = ends
+        begin[0] = True
+        place = np.flatnonzero(ends)
+        while len(place):
+            is_end[place] = True
+            before = place - size[place]
+            place = before[~begin[before + 1]]
+        chosen = ids[is_end].astype("<u4")
+        cuts = np.concatenate([[0], np.cumsum(is_end)])[bounds]
+        raw = chosen.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def _sizes(self) -> np.ndarray:
+        """Bytes of each token, by id."""
+        if self._token_sizes is None:
+            self._token_sizes = np.zeros(max(self.vocabulary.values()) + 1, np.int64)
+            for token in self.tokens:
+                self._token_sizes[self.vocabulary[token]] = len(self._text(token))
+        return self._token_sizes
+
+
+def _byte_level_words(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the words of the byte-level pattern begin; texts begin at ``starts``.
+
+    Runs of letters, of numbers and of others are words, with a space before them
+    if there is one; of other white space the last character before a word stands
+    alone; white space at the end of a text is one word."""
+    kind = _char_classes()[chars]
+    begins = np.empty(len(chars), bool)
+    begins[0] = True
+    begins[1:] = kind[1:] != kind[:-1]
+    begins[starts] = True
+    text_start = np.zeros(len(chars) + 1, bool)
+    text_start[starts] = True
+    after = np.flatnonzero(begins[1:] & (kind[:-1] == _GAP) & (kind[1:] != _GAP) & ~text_start[1:-1]) + 1  # words after white space
+    begins[after - 1] = True
+    spaced = after[chars[after - 1] == 0x20]
+    begins[spaced] = False
+    quotes = np.flatnonzero((chars == 0x27) & begins)
+    limit = np.append(np.flatnonzero(text_start[:-1]), len(chars))
+    for q in quotes.tolist():
+        stop = int(limit[np.searchsorted(limit, q, side="right")])
+        tail = "".join(map(chr, chars[q + 1 : min(q + 3, stop)].tolist()))
+        n = 1 if tail[:1] and tail[0] in "stmd" else 2 if tail in ("re", "ve", "ll") else 0
+        if n:
+            begins[q + 1 : q + 1 + n] = False
+            if q + 1 + n < stop:
+                begins[q + 1 + n] = begins[q + 1 + n] or kind[q + 1 + n] == _LETTER
+    return begins
 
 
 @lru_cache(maxsize=2)
-def transducer(file: str) -> BpeTransducer:
-    return BpeTransducer(file)
+def transducer(file: str, counting: bool = True) -> BpeTransducer:
+    return BpeTransducer(file, counting)
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
