@@ -9,6 +9,7 @@ from . import toxicity
 from .chat import format_chats, masked_text, parse_chat
 from .decontam import contamination
 from .exact_dedup import exact_groups
+from .id_coder import read_ids, write_ids
 from .minhash_dedup import NearDupConfig, near_groups
 from .packing import pack
 from .token_fst import token_counts
@@ -60,6 +61,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as coded id files, and what is read back from these."""
+    scratch = Scratch(spark, "ids")
+    root = scratch.path("files")
+    manifest = scratch.save(write_ids(table(spark, sf_dir, "documents"), root, tokenizer_path("word_bpe_49k.json"), end_id=2), "manifest")
+    return read_ids(manifest, root)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     return found.select(
@@ -104,7 +113,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_fixity, op3_exact_dedup, op4_packing, op6_decontaminate, op7_minhash_dedup, op8_chat_format, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_fixity, op3_exact_dedup, op4_packing, op5_token_ids, op6_decontaminate, op7_minhash_dedup, op8_chat_format, op9_token_counts, op10_toxicity)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

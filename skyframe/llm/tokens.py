@@ -7,7 +7,6 @@ library's own ids.
 
 from __future__ import annotations
 
-import re
 from array import array
 from functools import lru_cache
 
@@ -80,40 +79,6 @@ class _Units:
                 ids[u] = array("I", e.ids).tobytes()
 
 
-class ByteLevelIds(_Units):
-    """For byte-level BPE whose words are split by the usual pattern (a word takes
-    one leading space).  A text is cut before each space that is followed by
-    other than white space: whatever stands before is split as if the text ended
-    there.  Special strings are cut out first, as the library does."""
-
-    def marks(self, token: str) -> bool:
-        return token.startswith("\u0120")  # the space
-
-    def plain(self, unit: str) -> bool:
-        return unit[0] == " " and unit.split() == [unit[1:]] and unit[1:] not in self.special
-
-    _cut = re.compile(r"(?= \S)")
-    _odd = re.compile(r" (?!\S)")
-
-    def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if any(s in text for s in self.special):
-            parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
-            return [u for p in parts if p for u in ([p] if p in self.special else self._plain(p))]
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        if self._odd.search(text):
-            return [u for u in self._cut.split(text) if u]
-        first, *rest = text.split(" ")
-        return [first, *(" " + u for u in rest)] if first else [" " + u for u in rest]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.units(t or "") for t in texts]
-        return _joined(self, cut, str)
-
-
 class WordIds(_Units):
     """For BPE on words, white space dropped: ASCII white space is never part of a
     token nor of any normal form, so texts are cut there."""
@@ -147,11 +112,6 @@ def _joined(units: _Units, cut: list[list], as_text) -> list[bytes]:
     return out
 
 
-@lru_cache(maxsize=4)
-def byte_level(file: str) -> ByteLevelIds:
-    return ByteLevelIds(file)
-
-
 @lru_cache(maxsize=4)
 def word_level(file: str) -> WordIds:
     return WordIds(file)
