@@ -19,14 +19,14 @@ GPS_EPOCH_US = 315_964_800_000_000
 LEAP_SECONDS = 18
 US = 1_000_000
 
-_BLANK = r"[\s\x1c-\x1f]"
+_BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _FLOAT = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 _SPECIAL = r"(?i)^[+-]?(nan|inf|infinity)$"
 
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, of whatever kind."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{_BLANK}+", ""), f"{_BLANK}+$", "")
+    return F.regexp_replace(F.regexp_replace(text, f"^{_BLANK}+", ""), f"{_BLANK}+\\z", "")
 
 
 def parse_float(text: Column) -> Column:

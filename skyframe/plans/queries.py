@@ -229,9 +229,12 @@ def _videos(spark, sf_dir) -> DataFrame:
 def _reports(spark, sf_dir) -> DataFrame:
     v = _videos(spark, sf_dir)
     start = F.date_format(F.timestamp_micros(F.col("t") + 5 * US), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    good = F.to_json(F.struct(start.alias("video_start_utc"), F.lit(1.5).alias("offset_video_to_log_start_sec"), (F.col("event_id") % 10).alias("filename_delta_sec")))
-    first = v.where("event_id % 3 = 0").select("video", F.lit(1).alias("priority"), F.when(F.col("event_id") % 9 == 0, F.lit("{broken")).otherwise(good).alias("body"))
-    second = v.where("event_id % 5 = 0").select("video", F.lit(2).alias("priority"), F.regexp_replace(good, "1\\.5", "2.5").alias("body"))
+
+    def report(offset: float) -> Column:
+        return F.to_json(F.struct(start.alias("video_start_utc"), F.lit(offset).alias("offset_video_to_log_start_sec"), (F.col("event_id") % 10).alias("filename_delta_sec")))
+
+    first = v.where("event_id % 3 = 0").select("video", F.lit(1).alias("priority"), F.when(F.col("event_id") % 9 == 0, F.lit("{broken")).otherwise(report(1.5)).alias("body"))
+    second = v.where("event_id % 5 = 0").select("video", F.lit(2).alias("priority"), report(2.5).alias("body"))
     return first.unionByName(second)
 
 
@@ -479,7 +482,7 @@ def g_global_track(spark, sf_dir):
 def g_result_rows(spark, sf_dir):
     frames, candidates, _ = _track_inputs(spark, sf_dir)
     out = localize.localize_global(frames, candidates, LocalizeConfig())
-    return out.select("video", "frame_index", F.bround("video_time_sec", 3).alias("VideoTimeSec"), F.coalesce(F.format_string("%.2f", "map_center_x_px"), F.lit("")).alias("MapCenterXPx"), "match_count")
+    return out.select("video", "frame_index", F.bround("video_time_sec", 3).alias("VideoTimeSec"), F.when(F.col("map_center_x_px").isNotNull(), F.format_string("%.2f", "map_center_x_px")).otherwise("").alias("MapCenterXPx"), "match_count")
 
 
 # --- H, I: summaries and the live plan ---------------------------------------
