@@ -4,8 +4,8 @@ A conversation becomes one string.  Adjacent turns of one role share a block:
 
     ### role<msg>first text<and>second text</turn>\\n
 
-``\\``, ``#`` and ``<`` inside roles and texts are escaped by a backslash, so no
-marker ever occurs inside them and the whole is read back exactly.  The loss
+Inside roles and texts a backslash is doubled, ``<`` written ``\\l`` and ``#``
+``\\h``, so no marker ever occurs inside them and the whole is read back exactly.  The loss
 mask is a list of (start, length) spans of code points in the formatted string:
 the texts of the trained roles, markers left out.
 """
@@ -21,11 +21,14 @@ OPEN, MSG, AND, CLOSE = "### ", "<msg>", "<and>", "</turn>\n"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\#<])", r"\\$1")
+    doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(doubled, F.lit("<"), F.lit("\\l")), F.lit("#"), F.lit("\\h"))
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\#<])", "$1")
+    """Pairs of backslashes first, kept apart as ``#``, which no escaped text holds."""
+    paired = F.replace(F.replace(text, F.lit("\\\\"), F.lit("#")), F.lit("\\l"), F.lit("<"))
+    return F.translate(F.replace(paired, F.lit("\\h"), F.lit("\\")), "#\\", "\\#")
 
 
 def format_chats(
@@ -76,7 +79,7 @@ def _parts(block: Column, trained: tuple[str, ...]) -> Column:
 
 
 def _escaped(role: str) -> str:
-    return "".join(f"\\{c}" if c in "\\#<" else c for c in role)
+    return role.replace("\\", "\\\\").replace("<", "\\l").replace("#", "\\h")
 
 
 def _spans(parts: str) -> Column:
