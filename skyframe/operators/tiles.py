@@ -62,8 +62,8 @@ def nearest_tiles(probes: DataFrame, tiles: DataFrame, k: int, x: str = "x", y:
     order: the probe's columns, ``rank`` from 0, ``tile_ord, distance_sq``.
 
     With few tiles (a count decides) the search is one array expression per probe,
-    without a shuffle.  Beyond that probes look at growing rings of cells: rings
-    double until they surely hold k tiles, for the probes still open only.
+    without a shuffle.  Beyond that a coarse grid of tile counts tells how far each
+    probe must look, and probes meet tiles by coarse cell within that distance.
     """
     k = max(1, k)
     if tiles.count() <= few_tiles:
@@ -75,22 +75,41 @@ def nearest_tiles(probes: DataFrame, tiles: DataFrame, k: int, x: str = "x", y:
 
 
 def _nearest_by_rings(probes: DataFrame, tiles: DataFrame, k: int, x: str, y: str) -> DataFrame:
-    box = tiles.agg(F.min("center_x_px"), F.max("center_x_px"), F.min("center_y_px"), F.max("center_y_px"), F.count("*")).first()
-    k = min(k, box[4])
-    span = max(float(box[1] - box[0]), float(box[3] - box[2]), 1.0)
-    radius = max(span * (k / box[4]) ** 0.5, 1.0)
-    left = probes.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.struct(*[F.col(c) for c in probes.columns]).alias("_probe"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    places = tiles.select("tile_ord", "center_x_px", "center_y_px")
-    by = Window.partitionBy("_probe")
-    found = None
-    while True:
-        dx, dy = F.col("center_x_px") - F.col("_x"), F.col("center_y_px") - F.col("_y")
-        inside = tiles_near(left, places, radius, "_x", "_y").withColumn("distance_sq", (dx * dx + dy * dy).cast("double"))
-        ranked = inside.withColumns({"rank": F.row_number().over(by.orderBy("distance_sq", "tile_ord")) - 1, "_n": F.count("*").over(by)})
-        full = ranked.where((F.col("rank") < k) & (F.col("_n") >= k))
-        part = full.select("_probe.*", F.col("rank").cast("bigint").alias("rank"), "tile_ord", "distance_sq")
-        found = part if found is None else found.unionByName(part)
-        left = left.join(full.select("_probe").distinct(), "_probe", "left_anti")
-        if not left.take(1):
-            return found
-        radius *= 2
+    """Each probe's first ring is the distance that surely holds k tiles: that of its
+    k-th nearest among a coarse sample of the index, one tile per coarse cell."""
+    box = tiles.agg(F.min("center_x_px").alias("x0"), F.max("center_x_px").alias("x1"), F.min("center_y_px").alias("y0"), F.max("center_y_px").alias("y1"), F.count("*").alias("n")).first()
+    k = min(k, box["n"])
+    side = max(float(box["x1"] - box["x0"]), float(box["y1"] - box["y0"]), 1.0) / 32
+    cell = [F.floor((F.col(c) - low) / side).cast("bigint") for c, low in (("center_x_px", box["x0"]), ("center_y_px", box["y0"]))]
+    # at most 33 x 33 coarse cells, of each the box of its tiles and their number
+    coarse = tiles.groupBy(cell[0].alias("_gx"), cell[1].alias("_gy")).agg(F.count("*").alias("n"))
+    coarse = coarse.agg(F.collect_list(F.struct("_gx", "_gy", "n")).alias("_cells"))
+    far = F.transform(
+        "_cells",
+        lambda c: F.struct(
+            F.sqrt(
+                F.pow(F.greatest(F.abs(F.col("_x") - (box["x0"] + c["_gx"] * side)), F.abs(F.col("_x") - (box["x0"] + (c["_gx"] + 1) * side))), 2)
+                + F.pow(F.greatest(F.abs(F.col("_y") - (box["y0"] + c["_gy"] * side)), F.abs(F.col("_y") - (box["y0"] + (c["_gy"] + 1) * side))), 2)
+            ).alias("d"),
+            c["n"].alias("n"),
+        ),
+    )
+    asked = probes.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.struct(*[F.col(c) for c in probes.columns]).alias("_probe"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    # the farthest corner of the nearest cells that hold k tiles together
+    reach = F.aggregate(F.array_sort(far), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("d")), lambda s, c: F.when(s.n >= k, s).otherwise(F.struct((s.n + c.n).alias("n"), c.d.alias("d"))))
+    ringed = asked.join(F.broadcast(coarse), F.lit(True)).withColumn("_r", reach.d)
+    near = F.filter("_cells", lambda c: _cell_distance(c, box, side) <= F.col("_r"))
+    spread = ringed.select("_probe", "_x", "_y", "_r", F.explode(near).alias("_c")).select("_probe", "_x", "_y", "_r", "_c._gx", "_c._gy")
+    placed = tiles.select("tile_ord", "center_x_px", "center_y_px", cell[0].alias("_gx"), cell[1].alias("_gy"))
+    dx, dy = F.col("center_x_px") - F.col("_x"), F.col("center_y_px") - F.col("_y")
+    inside = spread.join(placed, ["_gx", "_gy"]).withColumn("distance_sq", (dx * dx + dy * dy).cast("double"))
+    ranked = inside.withColumn("rank", (F.row_number().over(Window.partitionBy("_probe").orderBy("distance_sq", "tile_ord")) - 1).cast("bigint"))
+    return ranked.where(F.col("rank") < k).select("_probe.*", "rank", "tile_ord", "distance_sq")
+
+
+def _cell_distance(c: Column, box, side: float) -> Column:
+    """From a probe to the nearest point of a coarse cell."""
+    low_x, low_y = box["x0"] + c["_gx"] * side, box["y0"] + c["_gy"] * side
+    off_x = F.greatest(F.lit(0.0), low_x - F.col("_x"), F.col("_x") - (low_x + side))
+    off_y = F.greatest(F.lit(0.0), low_y - F.col("_y"), F.col("_y") - (low_y + side))
+    return F.sqrt(off_x * off_x + off_y * off_y) * (1 - 1e-12)

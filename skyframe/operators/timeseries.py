@@ -30,7 +30,7 @@ def bracket(
     and ``last_t`` of the key's series.
 
     ``lo`` is the last point strictly before the probe's time, ``hi`` the first at
-    or after it; null where there is none.  Of points of one time, the first in
+    or after it; null where there is none, or no time.  Of points of one time, the first in
     ``order`` serves as ``hi`` and the last as ``lo``; at the series' last time, the
     last serves as ``hi`` too.  Points without key or time are passed over.
     """
@@ -71,7 +71,8 @@ def bracket(
     same = F.col("_key").eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b"))
     out = seen.join(carried, same, "left")
     hi = F.when((F.col("_t") == F.col("last_t")) & F.col("_end").isNotNull(), F.col("_end")).otherwise(F.coalesce("_hi", "_after"))
-    return out.select("_probe.*", F.coalesce("_lo", "_before").alias("lo"), hi.alias("hi"), "first_t", "last_t")
+    timed = lambda c: F.when(F.col("_t").isNotNull(), c)
+    return out.select("_probe.*", timed(F.coalesce("_lo", "_before")).alias("lo"), timed(hi).alias("hi"), "first_t", "last_t")
 
 
 def fraction(time: Column, lo: Column, hi: Column) -> Column:
