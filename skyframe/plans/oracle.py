@@ -302,7 +302,7 @@ SELECT video, frame_index, CASE WHEN score IS NULL THEN 'lost' ELSE 'localized'
     "g_global_track": f"WITH {_TRACK} {_GLOBAL}",
     "g_result_rows": f"""
 WITH {_TRACK} SELECT video, frame_index, round_even(frame_index / 30::DOUBLE, 3) AS "VideoTimeSec", coalesce(printf('%.2f', shown_x), '') AS "MapCenterXPx", CASE WHEN score IS NULL THEN 0 ELSE 25 END::BIGINT AS match_count FROM track""",
-    "h_run_summary": f"WITH {_TRACK} SELECT video, count(*) AS frames, count(score) AS localized, round(avg(score), 4) AS mean_score FROM track GROUP BY video",
+    "h_run_summary": f"WITH {_TRACK} SELECT video, count(*) AS frames, count(score) AS localized, round(avg(score), 9) AS mean_score FROM track GROUP BY video",
     "i_submitted": f"WITH {_FRAMES} SELECT event_id, video, frame_index FROM frames WHERE frame_index % 5 = 0",
     "i_latest_wins": f"""
 WITH {_FRAMES} SELECT video || '/' || (t // 86400000000) AS slot, max(frame_index) AS frame_index, arg_max(event_id, frame_index) AS event_id FROM frames GROUP BY 1""",

@@ -491,7 +491,7 @@ def g_result_rows(spark, sf_dir):
 def h_run_summary(spark, sf_dir):
     frames, candidates, _ = _track_inputs(spark, sf_dir)
     out = localize.run_summary(localize.localize_global(frames, candidates, LocalizeConfig()), ["video"])
-    return out.select("video", "frames", "localized", F.round("mean_score", 4).alias("mean_score"))
+    return out.select("video", "frames", "localized", F.round("mean_score", 9).alias("mean_score"))
 
 
 def i_submitted(spark, sf_dir):
