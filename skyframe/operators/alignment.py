@@ -10,6 +10,17 @@ from ..functions.scalars import file_stamp_us
 _US = 1_000_000
 
 
+def report_paths(videos: DataFrame, sibling: str) -> DataFrame:
+    """``video, priority, path``: where a recording's sync report may lie, the project
+    of its folder first, then that of a sibling project."""
+    folder = F.regexp_replace("video", r"/[^/]*$", "")
+    project = F.regexp_replace(folder, r"/[^/]*$", "")
+    stem = F.regexp_replace(F.regexp_extract("video", r"([^/]*)$", 1), r"(.)\.[^.]*$", "$1")
+    name = F.concat(F.lit("/diagnostics/epoch_sync_"), stem, F.lit(".json"))
+    beside = F.concat(F.regexp_replace(project, r"/[^/]*$", ""), F.lit(f"/{sibling}"))
+    return videos.select("video", F.posexplode(F.array(F.concat(project, name), F.concat(beside, name))).alias("priority", "path"))
+
+
 def resolve_starts(videos: DataFrame, reports: DataFrame, offset_hours: float = 3.0, strict: bool = True) -> DataFrame:
     """``videos`` (``video``, a path) with ``start_us`` and ``start_source``: a cached
     report's start, else the time stamp in the file name; with neither an error, or

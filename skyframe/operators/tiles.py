@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,45 @@ def _cell_distance(c: Column, box, side: float) -> Column:
     off_x = F.greatest(F.lit(0.0), low_x - F.col("_x"), F.col("_x") - (low_x + side))
     off_y = F.greatest(F.lit(0.0), low_y - F.col("_y"), F.col("_y") - (low_y + side))
     return F.sqrt(off_x * off_x + off_y * off_y) * (1 - 1e-12)
+
+
+# --- tile pixels -------------------------------------------------------------
+
+_BLOCK = "block_x long, block_y long, width int, height int, pixels binary"
+
+
+def raster_blocks(spark: SparkSession, image: np.ndarray, block_px: int = 512) -> DataFrame:
+    """A decoded raster (H x W x 3 bytes) as rows of blocks: ``block_x, block_y, width,
+    height, pixels``.  A large raster is better read block by block into this form."""
+    rows = []
+    for y in range(0, image.shape[0], block_px):
+        for x in range(0, image.shape[1], block_px):
+            part = image[y : y + block_px, x : x + block_px]
+            rows.append((x // block_px, y // block_px, part.shape[1], part.shape[0], part.tobytes()))
+    return spark.createDataFrame(rows, _BLOCK)
+
+
+def tile_images(index: DataFrame, blocks: DataFrame, block_px: int = 512) -> DataFrame:
+    """``tile_ord, tile_size_px, pixels`` (size x size x 3 bytes): each tile's window of
+    the raster, black beyond its edges.  Tiles meet only the blocks that they
+    overlap, so neither side is ever held whole."""
+    first = lambda c: F.floor(F.col(c) / block_px).cast("bigint")
+    last = lambda c: F.floor((F.col(c) + F.col("tile_size_px") - 1) / block_px).cast("bigint")
+    wanted = index.select("tile_ord", "tile_size_px", "map_x0_px", "map_y0_px", F.explode(F.sequence(first("map_x0_px"), last("map_x0_px"))).alias("block_x"), F.sequence(first("map_y0_px"), last("map_y0_px")).alias("_ys"))
+    wanted = wanted.select("tile_ord", "tile_size_px", "map_x0_px", "map_y0_px", "block_x", F.explode("_ys").alias("block_y"))
+    pairs = wanted.join(blocks, ["block_x", "block_y"], "left")
+
+    def paste(parts: pd.DataFrame) -> pd.DataFrame:
+        size, x0, y0 = (int(parts[c].iat[0]) for c in ("tile_size_px", "map_x0_px", "map_y0_px"))
+        tile = np.zeros((size, size, 3), np.uint8)
+        for bx, by, w, h, pixels in zip(parts["block_x"], parts["block_y"], parts["width"], parts["height"], parts["pixels"]):
+            if pixels is None:
+                continue
+            block = np.frombuffer(pixels, np.uint8).reshape(int(h), int(w), 3)
+            left, top = bx * block_px - x0, by * block_px - y0  # of the block inside the tile
+            x, y = max(0, left), max(0, top)
+            part = block[y - top : size - top, x - left : size - left]
+            tile[y : y + part.shape[0], x : x + part.shape[1]] = part
+        return pd.DataFrame({"tile_ord": [parts["tile_ord"].iat[0]], "tile_size_px": [size], "pixels": [tile.tobytes()]})
+
+    return pairs.groupBy("tile_ord").applyInPandas(paste, "tile_ord long, tile_size_px long, pixels binary")

@@ -42,6 +42,11 @@ def test_both_ways_of_choosing_agree(spark):
     assert one == two and len(one) == 60
 
 
+def test_report_paths(spark):
+    videos = spark.createDataFrame([("/p/proj/movie/2023_0120_134558.x.MP4",)], "video string")
+    assert [(r["priority"], r["path"]) for r in alignment.report_paths(videos, "other").collect()] == [(0, "/p/proj/diagnostics/epoch_sync_2023_0120_134558.x.json"), (1, "/p/other/diagnostics/epoch_sync_2023_0120_134558.x.json")]
+
+
 def test_start_times(spark):
     videos = spark.createDataFrame([("/m/2023_0120_134558_001.MP4",), ("/m/x.MP4",), ("/m/y.mp4",)], "video string")
     bodies = [("/m/x.MP4", 1, "{bad"), ("/m/x.MP4", 2, '{"video_start_utc": "2023-01-20 10:00:00", "offset_video_to_log_start_sec": 1.5}'), ("/m/x.MP4", 3, '{"video_start_utc": "2024-01-20 10:00:00"}'), ("/m/y.mp4", 1, '{"video_start_utc": ""}')]
@@ -85,6 +90,19 @@ def test_tile_search(spark):
     assert tiles.nearest_tiles(df, index, 0).count() == len(probes)
 
 
+def test_tile_pixels(spark):
+    rng = np.random.default_rng(3)
+    image = rng.integers(1, 256, (150, 230, 3), dtype=np.uint8)
+    index = spark.createDataFrame([(0, 64, -10, -20), (1, 64, 30, 40), (2, 64, 200, 120), (3, 32, 500, 500), (4, 300, -5, -5)], "tile_ord long, tile_size_px long, map_x0_px long, map_y0_px long")
+    for block in (50, 64, 512):
+        for r in tiles.tile_images(index, tiles.raster_blocks(spark, image, block), block).join(index, ["tile_ord", "tile_size_px"]).collect():
+            n, x, y = r["tile_size_px"], r["map_x0_px"], r["map_y0_px"]
+            padded = np.zeros((1200, 1200, 3), np.uint8)
+            padded[300:450, 300:530] = image
+            want = padded[300 + y : 300 + y + n, 300 + x : 300 + x + n]
+            assert (np.frombuffer(r["pixels"], np.uint8).reshape(n, n, 3) == want).all()
+
+
 # --- matches -----------------------------------------------------------------
 
 
