@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,6 +34,7 @@ from .components import components
 from .sketch import Sketcher, plan_bands, sequence_key, sketch_limit, words_of
 from .store import Scratch
 from .text import packed, unpacked
+from .worker import bound_batches, release
 
 #: Bits of a whole set's parity bitmap, and classes along the side of a block.
 SET_BITS = 2048
@@ -61,11 +61,6 @@ class NearDupConfig:
         return (100 - self.percent) * sizes // (100 + self.percent)
 
 
-@lru_cache(maxsize=4)
-def _sketcher(width: int, bands: int, rows: int) -> Sketcher:
-    return Sketcher(width, bands, rows)
-
-
 def set_parity(shingles: np.ndarray) -> bytes:
     seats = (shingles % np.uint64(SET_BITS)).astype(np.int64)
     return np.packbits((np.bincount(seats, minlength=SET_BITS) & 1).astype(np.uint8)).tobytes()
@@ -74,9 +69,10 @@ def set_parity(shingles: np.ndarray) -> bytes:
 def signatures(docs: DataFrame, config: NearDupConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document; texts without words have a null ``class_key``."""
     width, (bands, rows) = config.width, plan_bands(config.threshold)
+    bound_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = _sketcher(width, bands, rows)
+        sketcher = Sketcher(width, bands, rows)
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("n", "key", "bands", "odd", "parity")}
             for text in batch.column(1).to_pylist():
@@ -94,6 +90,8 @@ def signatures(docs: DataFrame, config: NearDupConfig, id_col: str = "doc_id", t
                 out["parity"].append(set_parity(shingles))
             kinds = {"n": pa.int64(), "key": pa.binary(), "bands": pa.list_(pa.int64()), "odd": pa.binary(), "parity": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds[k]) for k, v in out.items())], ["doc_id", "n_shingles", "class_key", "bands", "odd", "parity"])
+        del sketcher
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, _SIGNATURE)
 
@@ -140,6 +138,7 @@ def _linked(config: NearDupConfig):
                 both = len(last_set & other)
                 out.append(bool(both) and 100 * both >= percent * (len(last_set) + len(other) - both))
             yield pd.Series(out, dtype=bool)
+        release()
 
     return linked
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .token_fst import transducer
+from .worker import bound_batches
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -140,6 +141,8 @@ def pack(
     that is run again gives the same.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, encoder = SumOfSquaresPacker(size, max_open), transducer(tokenizer_file, counting=False)
         end = np.array([end_id], "<u4").tobytes()

@@ -90,7 +90,7 @@ class Sketcher:
         self._known = np.empty(0, _U64)
 
     def shingles(self, words: list[bytes]) -> np.ndarray:
-        if len(self.words) > 1_000_000:  # bounds a worker's memory; numbers are never kept
+        if len(self.words) > 60_000:  # bounds a worker's memory; numbers are never kept
             self.words, self._known = _Words(), np.empty(0, _U64)
         ids = list(map(self.words.__getitem__, words))
         if len(self._known) < len(self.words.hashes):

@@ -36,13 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import bound_batches, held
+
 #: The automaton starts anew beyond this many states: about 1 KB each while
 #: counting, 0.5 KB for ids alone.
-MAX_STATES, MAX_ID_STATES = 130_000, 260_000
+MAX_STATES, MAX_ID_STATES = 120_000, 130_000
 #: Bytes of text that are counted at once, and chunks that advance in step.
-BATCH_BYTES, LANES = 4_000_000, 8192
+BATCH_BYTES, LANES = 1_000_000, 4096
 
 START, UNKNOWN = 0, 1
+_SHIFT = 1 << 14
 _GAP, _OTHER, _LETTER, _NUMBER = 0, 1, 2, 3
 #: Unicode white space (fixed values).
 _WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -79,9 +82,11 @@ class BpeTransducer:
         self.rank = {p: n for n, p in enumerate(pairs)}
         self.symbol = _byte_symbols()
         self.tokens = {t for t in {a + b for a, b in pairs} | {s + m for s in self.symbol for m in ("", self.mark)} if t in self.vocabulary}
+        self.own = {t: t for t in self.tokens}  # one string object per token, whoever refers to it
         self.starts = {t[:k] for t in map(self._text, self.tokens) for k in range(1, len(t))}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._own: dict[str, bool] = {}
+        self._plain: dict[str | None, tuple] = {}
         self._token_sizes: np.ndarray | None = None
         self._reset()
 
@@ -94,28 +99,33 @@ class BpeTransducer:
         self.bytes: list[int] = [-1]  # column 0: a gap
         self.windows: list[tuple] = [("", ((None, 0),)), ("", ())]
         self.number: dict[tuple, int] = {self.windows[START]: START}
-        self.next = np.full((1024, self.width), -1, np.int32)
-        self.emit = np.zeros((1024, self.width), np.int16)
-        self.end = np.full((1024, self.width), np.iinfo(np.int16).min, np.int16)
+        # pages of zeros cost nothing until a state is written: next holds the state + 1,
+        # end the count + _SHIFT, 0 meaning that it is not made yet
+        self.rows = (MAX_STATES if self.counting else MAX_ID_STATES) * 2
+        self._allocate()
         self.final: dict[tuple[int, int], int] = {}  # (state, column): id of the token that ends a word
         self.last_id: list[int] = [0, 0]  # by state: id of the last token so far
-        self.next[:, 0] = START
-        self.next[UNKNOWN, 1:] = UNKNOWN
-        self.end[UNKNOWN] = 0
+        self.next[[START, UNKNOWN], 0] = START + 1
+        self._open_unknown()
 
-    def _grow(self, rows: int, width: int) -> None:
-        for name, fill in (("next", -1), ("emit", 0), ("end", np.iinfo(np.int16).min)):
-            if name != "next" and not self.counting:
-                continue
-            old = getattr(self, name)
-            new = np.full((rows, width), fill, old.dtype)
-            new[: old.shape[0], : old.shape[1]] = old
-            setattr(self, name, new)
-        self.width = width
-        self.next[:, 0] = START
-        self.next[UNKNOWN, 1:] = UNKNOWN
+    def _allocate(self) -> None:
+        self.next = np.zeros((self.rows, self.width), np.int32)
+        if self.counting:
+            self.emit, self.end = np.zeros((self.rows, self.width), np.int16), np.zeros((self.rows, self.width), np.int16)
+
+    def _open_unknown(self) -> None:
+        self.next[UNKNOWN, 1:] = UNKNOWN + 1
         if self.counting:
-            self.end[UNKNOWN] = 0
+            self.end[UNKNOWN] = _SHIFT
+
+    def _grow(self, rows: int, width: int) -> None:
+        old = [self.next, *([self.emit, self.end] if self.counting else [])]
+        n, before = len(self.windows), self.width
+        self.rows, self.width = rows, width
+        self._allocate()
+        for new, table in zip([self.next, *([self.emit, self.end] if self.counting else [])], old):
+            new[:n, :before] = table[:n]
+        self._open_unknown()
 
     def encode_symbols(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the pair of the lowest rank first, leftmost first."""
@@ -150,8 +160,8 @@ class BpeTransducer:
         tail, places = window
         text = tail + symbol
         for k in range(len(places) - 1, -1, -1):  # the token starts k places back
-            token = text[len(text) - k - 1 :] + mark
-            if token in self.tokens:
+            token = self.own.get(text[len(text) - k - 1 :] + mark)
+            if token is not None:
                 before, count = places[len(places) - 1 - k]
                 if self._whole(token) if before is None else self._side_by_side(before, token):
                     return token, count + 1
@@ -169,22 +179,23 @@ class BpeTransducer:
         # a place matters while some token may begin there
         new = (text[len(text) - keep :], tuple(p and (p[0], p[1] - count) if k == len(moved) - 1 or text[len(text) - len(moved) + 1 + k :] in self.starts else None for k, p in enumerate(moved)))
         if not self.counting:
-            new = (new[0], tuple(p and (p[0], 0) for p in new[1]))
+            new = (new[0], tuple(p and self._plain.setdefault(p[0], (p[0], 0)) for p in new[1]))
         to = self.number.get(new)
         if to is None:
             to = self.number[new] = len(self.windows)
             self.windows.append(new)
             self.last_id.append(self.vocabulary[token])
-            if to >= len(self.next):
-                self._grow(2 * len(self.next), self.width)
-        self.next[state, column] = to
+            if to >= self.rows:
+                self._grow(2 * self.rows, self.width)
+            self.next[to, 0] = START + 1
+        self.next[state, column] = to + 1
         if self.counting:
             self.emit[state, column] = count
 
     def _make_end(self, state: int, column: int) -> None:
         token, count = self._last(self.windows[state], self.symbol[self.bytes[column]], self.mark)
         if self.counting:
-            self.end[state, column] = count
+            self.end[state, column] = count + _SHIFT
         self.final[state, column] = self.vocabulary[token]
 
     def _column_of(self, values: np.ndarray) -> np.ndarray:
@@ -192,31 +203,31 @@ class BpeTransducer:
             self.columns[b] = len(self.bytes)
             self.bytes.append(b)
         if len(self.bytes) > self.width:
-            self._grow(len(self.next), max(2 * self.width, len(self.bytes)))
+            self._grow(self.rows, len(self.bytes) + 4)
         return self.columns[values]
 
     def _advance(self, state: np.ndarray, acc: np.ndarray, inner: np.ndarray, last: np.ndarray, ends: list[np.ndarray], out: np.ndarray) -> None:
         """Run lanes over the rows of ``inner`` (columns; 0 for gaps and word ends);
         ``ends``: lanes whose word ends at a row, ``last``: their columns there.
         Counts of ended words go to ``out``."""
-        lowest = np.iinfo(np.int16).min
         for t in range(len(inner)):
             if len(lanes := ends[t]):
                 q, c = state[lanes], last[t, lanes]
                 count = self.end[q, c]
-                if (miss := count == lowest).any():
+                if (miss := count == 0).any():
                     for s, x in {*zip(q[miss].tolist(), c[miss].tolist())}:
                         self._make_end(s, x)
                     count = self.end[q, c]
-                out[t, lanes] = acc[lanes] + count
+                out[t, lanes] = acc[lanes] + count - _SHIFT
             at = state * self.width + inner[t]
             to = self.next.ravel()[at]
-            if len(to) and to.min() < 0:
-                miss = to < 0
+            if len(to) and not to.all():
+                miss = to == 0
                 for s, x in {*zip(state[miss].tolist(), inner[t][miss].tolist())}:
                     self._make_next(s, x)
                 at = state * self.width + inner[t]
                 to = self.next.ravel()[at]
+            to -= 1
             acc += self.emit.ravel()[at]
             if len(lanes):
                 acc[lanes] = 0
@@ -338,11 +349,12 @@ class BpeTransducer:
                 out_ids = [self._final_id(s, x) for s, x in zip(state[lanes].tolist(), last[t, lanes].tolist())]
             at = state * self.width + inner[t]
             to = self.next.ravel()[at]
-            if len(to) and to.min() < 0:
-                miss = to < 0
+            if len(to) and not to.all():
+                miss = to == 0
                 for s, x in {*zip(state[miss].tolist(), inner[t][miss].tolist())}:
                     self._make_next(s, x)
                 to = self.next.ravel()[state * self.width + inner[t]]
+            to -= 1
             out[t] = to
             if len(lanes):
                 if self.mark:
@@ -415,7 +427,7 @@ class BpeTransducer:
     def _sizes(self) -> np.ndarray:
         """Bytes of each token, by id."""
         if self._token_sizes is None:
-            self._token_sizes = np.zeros(max(self.vocabulary.values()) + 1, np.int64)
+            self._token_sizes = np.zeros(max(self.vocabulary.values()) + 1, np.int16)
             for token in self.tokens:
                 self._token_sizes[self.vocabulary[token]] = len(self._text(token))
         return self._token_sizes
@@ -451,9 +463,8 @@ def _byte_level_words(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return begins
 
 
-@lru_cache(maxsize=2)
 def transducer(file: str, counting: bool = True) -> BpeTransducer:
-    return BpeTransducer(file, counting)
+    return held(("transducer", file, counting), lambda: BpeTransducer(file, counting))
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -465,6 +476,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     give repeated results, and an empty table an empty one.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer_file)
         for batch in batches:

@@ -8,10 +8,11 @@ library's own ids.
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from .worker import held
+
 #: Kept units per generation and process: two generations are kept, and what
 #: is met again moves to the younger one.
 MAX_UNITS = 200_000
@@ -112,6 +113,5 @@ def _joined(units: _Units, cut: list[list], as_text) -> list[bytes]:
     return out
 
 
-@lru_cache(maxsize=4)
 def word_level(file: str) -> WordIds:
-    return WordIds(file)
+    return held(("words", file), lambda: WordIds(file))

@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 from .text import packed, unpacked
+from .worker import bound_batches, release
 
 _WORD = re.compile(r"\w+")
 #: Scores of units kept per process.
-MAX_UNITS = 400_000
-_COUNTS_FLUSH = 400_000
+MAX_UNITS = 60_000
+_COUNTS_FLUSH = 80_000
 
 
 @dataclass(frozen=True)
@@ -191,6 +192,7 @@ def _count_features(train: DataFrame, config: ToxicityConfig) -> DataFrame:
                 if len(counts[0]) + len(counts[1]) > _COUNTS_FLUSH:
                     yield rows()
         yield rows()
+        release()
 
     return once.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -240,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     disagree on an id the larger counts.  Without rows of both kinds the model
     scores every text alike, by the share of toxic rows.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     train = scratch.save(_training(docs, labels, config, id_col, text_col, label_col), "train")
     counts = scratch.save(_count_features(train.where("fold > 1"), config), "counts")
@@ -304,6 +307,8 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     ``passages`` (first unit, last unit, significance) added, replacing such
     columns.  Null and empty texts have no passages.  Rows are scored one by one."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("score double, passages array<struct<first:long,last:long,significance:double>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(model)
@@ -312,6 +317,8 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
             values = [scanner.score(max((x[2] for x in f), default=0.0), sum(x[2] for x in f)) for f in found]
             told = [[{"first": a, "last": b, "significance": s} for a, b, s in f] for f in found]
             yield pd.DataFrame({"score": values, "passages": told})
+        scanner.known.clear()
+        release()
 
     out = docs.withColumn("_scan", scan(F.col(text_col).cast("string")))
     return out.withColumns({"score": F.col("_scan.score"), "passages": F.col("_scan.passages"), "predicted": (F.col("_scan.score") >= 0.5).cast("int")}).drop("_scan")
