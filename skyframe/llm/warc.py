@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
+from .worker import bound_batches
 
 #: Children of a node: 2**_FAN_BITS.  A file holds 2**_PLACE_BITS records at most.
 _FAN_BITS, _PLACE_BITS, _FILE_BITS = 6, 18, 12
@@ -67,7 +68,7 @@ def _open(root: str) -> tuple[pafs.FileSystem, str]:
 
 def _put(fs: pafs.FileSystem, path: str, data: bytes) -> None:
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(temporary) as out:
+    with fs.open_output_stream(temporary, compression=None) as out:
         out.write(data)
     fs.move(temporary, path)
 
@@ -80,6 +81,8 @@ def write_warc(pages: DataFrame, root: str, max_bytes: int = 32 << 20, max_recor
     bytes).  An empty table writes nothing.
     """
 
+    bound_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
         fs.create_dir(base, recursive=True)
@@ -110,7 +113,10 @@ def write_warc(pages: DataFrame, root: str, max_bytes: int = 32 << 20, max_recor
 
 
 def _by_file(manifest: DataFrame) -> DataFrame:
-    return manifest.repartition("file").sortWithinPartitions("file", "place")
+    """A file's rows in order in one task; as many tasks as files, since rows are tiny
+    but what they point at is not."""
+    files = manifest.select("file").distinct().count()
+    return manifest.repartition(max(1, files), "file").sortWithinPartitions("file", "place")
 
 
 class _Ranges:
@@ -164,7 +170,7 @@ def copy_replica(manifest: DataFrame, root: str, target: str, damaged: F.Column)
         _put(to_fs, f"{to}/{key[0]}", bytes(data))
         return pd.DataFrame({"file": [key[0]], "n_damaged": [len(hit)]})
 
-    return manifest.select("file", "offset", "length", damaged.alias("damaged")).groupBy("file").applyInPandas(run, "file string, n_damaged long")
+    return manifest.select("file", "offset", "length", F.coalesce(damaged, F.lit(False)).alias("damaged")).groupBy("file").applyInPandas(run, "file string, n_damaged long")
 
 
 def leaves(manifest: DataFrame, root: str) -> DataFrame:
