@@ -173,9 +173,10 @@ def near_groups(docs: DataFrame, config: NearDupConfig, id_col: str = "doc_id",
     signed = scratch.save(signatures(docs, config, id_col, text_col), "signed")
     worded = signed.where("doc_id is not null and class_key is not null")
     classes = scratch.save(worded.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "class_key")
-    standing = worded.join(reps, ["doc_id", "class_key"], "left_semi").dropDuplicates(["doc_id", "class_key"])
-    standing = scratch.save(standing.groupBy("doc_id").agg(F.min(F.struct("class_key", "n_shingles", "bands", "odd", "parity")).alias("s")).select("doc_id", "s.*"), "standing")
+    # one signature an id, fetched by the id alone so that its rows move once
+    reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("class_key").alias("own_key"))
+    standing = worded.join(reps, "doc_id").where("class_key = own_key").drop("own_key").dropDuplicates(["doc_id"])
+    standing = scratch.save(standing, "standing")
 
     rows = scratch.save(standing.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("member")), "rows")
     buckets = rows.groupBy("bucket").agg(F.min("member").alias("leader"), F.max("member").alias("top"), F.count("*").alias("n"))
