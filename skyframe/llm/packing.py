@@ -131,6 +131,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = True,
+    max_states: int | None = None,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, ids`` (little-endian uint32; null unless ``with_ids``).
@@ -138,13 +139,14 @@ def pack(
     A null or empty text is its end id alone.  Repeated rows are packed each; a
     null id stays null.  An empty table gives no pieces.  A sequence's number is
     the partition's in the upper bits and a counter in the lower 40, so a task
-    that is run again gives the same.
+    that is run again gives the same.  ``max_states`` bounds the transducer's memory
+    (about 0.8 KB a state); fewer states only cost time.
     """
 
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, encoder = SumOfSquaresPacker(size, max_open), transducer(tokenizer_file, counting=False)
+        packer, encoder = SumOfSquaresPacker(size, max_open), transducer(tokenizer_file, False, max_states)
         end = np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 40
 

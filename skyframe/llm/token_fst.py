@@ -40,7 +40,7 @@ from .worker import bound_batches, held
 
 #: The automaton starts anew beyond this many states: about 1 KB each while
 #: counting, 0.5 KB for ids alone.
-MAX_STATES, MAX_ID_STATES = 120_000, 130_000
+MAX_STATES, MAX_ID_STATES = 120_000, 240_000
 #: Bytes of text that are counted at once, and chunks that advance in step.
 BATCH_BYTES, LANES = 1_000_000, 4096
 
@@ -70,8 +70,9 @@ def _byte_symbols() -> list[str]:
 class BpeTransducer:
     """``counting``: states also tell counts apart; without, only :meth:`ids` works."""
 
-    def __init__(self, file: str, counting: bool = True) -> None:
+    def __init__(self, file: str, counting: bool = True, max_states: int | None = None) -> None:
         self.counting = counting
+        self.max_states = max_states or (MAX_STATES if counting else MAX_ID_STATES)
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -101,7 +102,7 @@ class BpeTransducer:
         self.number: dict[tuple, int] = {self.windows[START]: START}
         # pages of zeros cost nothing until a state is written: next holds the state + 1,
         # end the count + _SHIFT, 0 meaning that it is not made yet
-        self.rows = (MAX_STATES if self.counting else MAX_ID_STATES) * 2
+        self.rows = self.max_states * 2
         self._allocate()
         self.final: dict[tuple[int, int], int] = {}  # (state, column): id of the token that ends a word
         self.last_id: list[int] = [0, 0]  # by state: id of the last token so far
@@ -295,7 +296,7 @@ class BpeTransducer:
         return np.add.reduceat(flat, begin).tolist() if sizes else []
 
     def _fresh(self) -> None:
-        if len(self.windows) > (MAX_STATES if self.counting else MAX_ID_STATES):
+        if len(self.windows) > self.max_states:
             self._reset()
 
     def _run(self, data: bytes, inside: np.ndarray, ends: np.ndarray, advance, mid_end: bool) -> np.ndarray:
@@ -463,8 +464,8 @@ def _byte_level_words(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return begins
 
 
-def transducer(file: str, counting: bool = True) -> BpeTransducer:
-    return held(("transducer", file, counting), lambda: BpeTransducer(file, counting))
+def transducer(file: str, counting: bool = True, max_states: int | None = None) -> BpeTransducer:
+    return held(("transducer", file, counting, max_states), lambda: BpeTransducer(file, counting, max_states))
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
