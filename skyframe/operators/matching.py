@@ -110,7 +110,7 @@ def fit_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
     x, y, u, v = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
     zero, one = np.zeros_like(x), np.ones_like(x)
     rows = np.concatenate([np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], 1), np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], 1)])
-    _, s, vt = np.linalg.svd(rows)
+    _, s, vt = np.linalg.svd(rows, full_matrices=len(rows) < 9)  # of four points only the full one holds the null vector
     if len(s) >= 8 and s[7] < 1e-9 * s[0]:
         return None
     h = np.linalg.inv(tb) @ vt[-1].reshape(3, 3) @ ta

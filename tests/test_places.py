@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -130,6 +131,18 @@ def test_homography_recovers_a_known_one():
     assert matching.robust_homography(line, line)[0] is None
 
 
+def test_large_groups_are_fitted_in_little_memory():
+    rng = np.random.default_rng(5)
+    h = np.array([[1.1, 0.05, 20], [-0.03, 0.95, -7], [1e-5, -2e-5, 1]])
+    src = rng.uniform(0, 800, (1500, 2))
+    tracemalloc.start()
+    got = matching.fit_homography(src, matching.apply_homography(h, src))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, h, atol=1e-6) and peak < 10_000_000
+    assert np.allclose(matching.fit_homography(src[:4], matching.apply_homography(h, src[:4])), h, atol=1e-6)
+
+
 def test_score_of_the_recorded_row(spark):
     row = spark.range(1).select(matching.candidate_score(F.lit(13), F.lit(0.52), F.lit(0.1983), F.lit(2.2191))).first()
     assert round(row[0], 4) == 35.4187 or abs(row[0] - 35.4190) < 5e-4
