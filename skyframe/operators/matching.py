@@ -123,7 +123,7 @@ def apply_homography(h: np.ndarray, points: np.ndarray) -> np.ndarray:
         return p[:, :2] / p[:, 2:]
 
 
-def robust_homography(src: np.ndarray, dst: np.ndarray, threshold: float = 6.0, trials: int = 2000, confidence: float = 0.999, seed: int = 7) -> tuple[np.ndarray | None, np.ndarray]:
+def robust_homography(src: np.ndarray, dst: np.ndarray, threshold: float = 6.0, trials: int = 10_000, confidence: float = 0.999, seed: int = 7) -> tuple[np.ndarray | None, np.ndarray]:
     """Seeded RANSAC over samples of four, then refits on the inliers until they
     settle: (matrix or None, inlier mask).  The trials stop once an all-inlier
     sample is as likely as ``confidence``."""
@@ -160,7 +160,7 @@ def robust_homography(src: np.ndarray, dst: np.ndarray, threshold: float = 6.0,
     return best, mask if best is not None else np.zeros(n, bool)
 
 
-def homographies(matches: DataFrame, group: list[str], threshold: float = 6.0) -> DataFrame:
+def homographies(matches: DataFrame, group: list[str], threshold: float = 6.0, trials: int = 10_000, confidence: float = 0.999) -> DataFrame:
     """``matches`` (``qx, qy, rx, ry, conf`` per row and group) -> per group
     ``homography`` (array of 9 or null), ``match_count``, ``inlier_count``,
     ``reprojection_error``, ``mean_confidence``.
@@ -171,7 +171,7 @@ def homographies(matches: DataFrame, group: list[str], threshold: float = 6.0) -
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["qx", "qy", "rx", "ry"], kind="stable")
         src, dst = pdf[["qx", "qy"]].to_numpy(float), pdf[["rx", "ry"]].to_numpy(float)
-        h, inside = robust_homography(src, dst, threshold)
+        h, inside = robust_homography(src, dst, threshold, trials, confidence)
         error = np.linalg.norm(apply_homography(h, src) - dst, axis=1)[inside].mean() if h is not None and inside.any() else np.inf
         row = {c: pdf[c].iat[0] for c in group}
         row |= {"homography": None if h is None else h.ravel().tolist(), "match_count": len(pdf), "inlier_count": int(inside.sum())}

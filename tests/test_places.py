@@ -131,6 +131,21 @@ def test_homography_recovers_a_known_one():
     assert matching.robust_homography(line, line)[0] is None
 
 
+def test_homography_of_few_inliers(spark):
+    h = np.array([[1.1, 0.05, 20], [-0.03, 0.95, -7], [1e-5, -2e-5, 1]])
+    rows = []
+    for pair in (1, 2):  # lost with 2000 trials
+        rng = np.random.default_rng(pair)
+        src = rng.uniform(0, 800, (80, 2))
+        dst = matching.apply_homography(h, src)
+        dst[12:] = rng.uniform(0, 900, (68, 2))
+        rows += [(pair, *map(float, (*p, *q)), 0.5) for p, q in zip(src, dst)]
+    matches = spark.createDataFrame(rows, "pair int, qx double, qy double, rx double, ry double, conf double")
+    fits = matching.homographies(matches, ["pair"]).collect()
+    assert len(fits) == 2 and all(r["inlier_count"] == 12 and np.allclose(r["homography"], h.ravel(), atol=1e-6) for r in fits)
+    assert all(r["inlier_count"] < 12 for r in matching.homographies(matches, ["pair"], trials=1).collect())
+
+
 def test_large_groups_are_fitted_in_little_memory():
     rng = np.random.default_rng(5)
     h = np.array([[1.1, 0.05, 20], [-0.03, 0.95, -7], [1e-5, -2e-5, 1]])
