@@ -42,7 +42,8 @@ def choose_logs(videos: DataFrame, logs: DataFrame, few_logs: int = 100_000) ->
     The key ranks every log for every video, as the least near log may be the only
     one, so the logs are the small side: with ``few_logs`` of them at most (24 bytes
     each) they are held as one array per task.  Beyond that each video needs only
-    logs that overlap it, hold its start, or are nearest, which as-of lookups find.
+    logs that overlap it, hold its start, or are nearest, which as-of lookups find;
+    both ways choose the same log.
     """
     n = logs.count()
     if n > few_logs:
@@ -67,7 +68,11 @@ def named_logs(index: DataFrame) -> DataFrame:
 
 def _near_logs(videos: DataFrame, logs: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
     """``video`` and log columns: all logs sharing a time bucket with the video, and
-    for each video the logs of the nearest start on either side and nearest end."""
+    of the logs of the nearest start on either side those that can win.
+
+    Only those matter beyond the shared buckets, as nearness of the start comes
+    first there.  Of the logs of one start either one with the nearest end wins, or,
+    if no end is nearer than the start, the first by ``ord``."""
     from .timeseries import bracket
 
     def buckets(a, b):
@@ -78,12 +83,13 @@ def _near_logs(videos: DataFrame, logs: DataFrame, bucket_us: int = 3_600_000_00
     held = logs.withColumn("bucket", buckets(F.col("log_start_us"), F.greatest("end_us", "log_start_us")))
     sharing = asked.join(held, "bucket").drop("bucket")
     columns = ["ord", "log_file", "folder", "log_start_us", "end_us"]
-    near = None
-    for time in ("log_start_us", "end_us"):
-        points = logs.select(F.lit(0).alias("one"), F.col(time).alias("t"), *columns)
-        probes = videos.where("start_us is not null").select(F.lit(0).alias("one"), F.col("start_us").alias("t"), "video")
-        found = bracket(points, probes, "one", "t", columns, "ord")
-        for side in ("lo", "hi"):
-            part = found.where(F.col(side).isNotNull()).select("video", *[F.col(f"{side}.{c}").alias(c) for c in columns])
-            near = part if near is None else near.unionByName(part)
-    return sharing.select("video", *columns).unionByName(near).distinct()
+    log = F.struct(*columns)
+    firsts = logs.groupBy("log_start_us", "end_us").agg(F.min_by(log, "ord").alias("log"))
+    starts = firsts.groupBy("log_start_us").agg(F.min_by("log", "log.ord").alias("first")).select(F.lit(0).alias("one"), F.col("log_start_us").alias("t"), "first")
+    probes = videos.where("start_us is not null").select(F.lit(0).alias("one"), F.col("start_us").alias("t"), "video").distinct()
+    around = bracket(starts, probes, "one", "t", ["first"]).select("video", F.col("t"), F.explode(F.array("lo", "hi")).alias("s")).where("s is not null")
+    nearest = around.select("video", "t", F.col("s.t").alias("log_start_us"), F.col("s.first").alias("first"))
+    ends = firsts.select("log_start_us", F.col("end_us").alias("t"), "log")
+    found = bracket(ends, nearest, "log_start_us", "t", ["log"])
+    near = found.select("video", F.explode(F.array("first", "lo.log", "hi.log")).alias("log")).where("log is not null")
+    return sharing.select("video", *columns).unionByName(near.select("video", "log.*")).distinct()

@@ -43,6 +43,23 @@ def test_both_ways_of_choosing_agree(spark):
     assert one == two and len(one) == 60
 
 
+def test_both_ways_agree_on_tied_and_repeated_logs(spark):
+    rng = random.Random(4)
+    hour = 3600 * US
+    cases = [
+        [(0, 0, 100), (1, 0, 100)],
+        [(0, 0, 100), (1, 0, 50), (2, -10, 5000)],
+        [(0, 40000, 8000), (1, 40000, 15000), (2, 40000, 15000)],
+    ]
+    cases += [[(k, rng.choice([0, 20, 40]) * 1000, rng.choice([0, 10, 20, 30, 40]) * 1000) for k in rng.sample(range(30), 12)]]
+    videos = [(f"v{k}", s, d) for k, (s, d) in enumerate([(20000 * US, 60.0), (20000 * US, None), (10 * hour, 30.0), (30000 * US, 5.0), (-30 * hour, 9000.0), (0, 0.0)])]
+    a = spark.createDataFrame(videos, "video string, start_us long, duration_sec double")
+    for case in cases:
+        b = spark.createDataFrame([(o, f"l{o}", "f", s * US, e * US) for o, s, e in case], "ord long, log_file string, folder string, log_start_us long, end_us long")
+        one, two = (sorted(map(tuple, alignment.choose_logs(a, b, few).collect())) for few in (10**6, 0))
+        assert one == two and len(one) == len(videos)
+
+
 def test_report_paths(spark):
     videos = spark.createDataFrame([("/p/proj/movie/2023_0120_134558.x.MP4",)], "video string")
     assert [(r["priority"], r["path"]) for r in alignment.report_paths(videos, "other").collect()] == [(0, "/p/proj/diagnostics/epoch_sync_2023_0120_134558.x.json"), (1, "/p/other/diagnostics/epoch_sync_2023_0120_134558.x.json")]
