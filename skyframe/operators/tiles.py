@@ -66,6 +66,8 @@ def nearest_tiles(probes: DataFrame, tiles: DataFrame, k: int, x: str = "x", y:
     With few tiles (a count decides) the search is one array expression per probe,
     without a shuffle.  Beyond that a coarse grid of tile counts tells how far each
     probe must look, and probes meet tiles by coarse cell within that distance.
+    Either way a repeated probe row gets its tiles as often as it occurs, and one
+    whose place is null, NaN or infinite the first tiles of the index.
     """
     k = max(1, k)
     if tiles.count() <= few_tiles:
@@ -96,17 +98,26 @@ def _nearest_by_rings(probes: DataFrame, tiles: DataFrame, k: int, x: str, y: st
             c["n"].alias("n"),
         ),
     )
-    asked = probes.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.struct(*[F.col(c) for c in probes.columns]).alias("_probe"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    # equal rows are ranked once and repeated at the end; counted by input partition, so that no task has all copies
+    counted = probes.select(F.struct(*[F.col(c) for c in probes.columns]).alias("_probe"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.spark_partition_id().alias("_part"))
+    counted = counted.groupBy("_probe", "_x", "_y", "_part").agg(F.count("*").alias("_copies"))
+    placed_at = F.coalesce(F.abs("_x") < float("inf"), F.lit(False)) & F.coalesce(F.abs("_y") < float("inf"), F.lit(False))
+    asked = counted.where(placed_at)
     # the farthest corner of the nearest cells that hold k tiles together
     reach = F.aggregate(F.array_sort(far), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("d")), lambda s, c: F.when(s.n >= k, s).otherwise(F.struct((s.n + c.n).alias("n"), c.d.alias("d"))))
     ringed = asked.join(F.broadcast(coarse), F.lit(True)).withColumn("_r", reach.d)
     near = F.filter("_cells", lambda c: _cell_distance(c, box, side) <= F.col("_r"))
-    spread = ringed.select("_probe", "_x", "_y", "_r", F.explode(near).alias("_c")).select("_probe", "_x", "_y", "_r", "_c._gx", "_c._gy")
+    kept = ["_probe", "_part", "_copies", "_x", "_y"]
+    spread = ringed.select(*kept, F.explode(near).alias("_c")).select(*kept, "_c._gx", "_c._gy")
     placed = tiles.select("tile_ord", "center_x_px", "center_y_px", cell[0].alias("_gx"), cell[1].alias("_gy"))
     dx, dy = F.col("center_x_px") - F.col("_x"), F.col("center_y_px") - F.col("_y")
     inside = spread.join(placed, ["_gx", "_gy"]).withColumn("distance_sq", (dx * dx + dy * dy).cast("double"))
-    ranked = inside.withColumn("rank", (F.row_number().over(Window.partitionBy("_probe").orderBy("distance_sq", "tile_ord")) - 1).cast("bigint"))
-    return ranked.where(F.col("rank") < k).select("_probe.*", "rank", "tile_ord", "distance_sq")
+    ranked = inside.withColumn("rank", (F.row_number().over(Window.partitionBy("_probe", "_part").orderBy("distance_sq", "tile_ord")) - 1).cast("bigint"))
+    ranked = ranked.where(F.col("rank") < k).select("_probe", "_copies", "rank", "tile_ord", "distance_sq")
+    first = tiles.orderBy("tile_ord").limit(k).select("tile_ord", "center_x_px", "center_y_px", (F.row_number().over(Window.orderBy("tile_ord")) - 1).cast("bigint").alias("rank"))
+    nowhere = counted.where(~placed_at).join(F.broadcast(first), F.lit(True)).withColumn("distance_sq", (dx * dx + dy * dy).cast("double"))  # k rows
+    both = ranked.unionByName(nowhere.select("_probe", "_copies", "rank", "tile_ord", "distance_sq"))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select("_probe.*", "rank", "tile_ord", "distance_sq")
 
 
 def _cell_distance(c: Column, box, side: float) -> Column:

@@ -108,6 +108,14 @@ def test_tile_search(spark):
     assert tiles.nearest_tiles(df, index, 0).count() == len(probes)
 
 
+def test_repeated_and_null_probes(spark):
+    index = tiles.tile_index(spark, 1600, 1200, [512, 768]).cache()
+    rows = [(1, 300.0, 200.0)] * 3 + [(2, None, 5.0)] * 2 + [(3, 7.0, None), (4, None, None), (5, float("nan"), 1.0), (6, float("inf"), 1.0), (7, 1.0, 1.0), (8, -0.0, 1.0), (8, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double").repartition(3)
+    one, two = (sorted(tuple(map(str, r)) for r in tiles.nearest_tiles(df, index, 4, few_tiles=few).drop("x", "y").collect()) for few in (1000, 0))
+    assert one == two and len(one) == 4 * len(rows)
+
+
 def test_tile_pixels(spark):
     rng = np.random.default_rng(3)
     image = rng.integers(1, 256, (150, 230, 3), dtype=np.uint8)
