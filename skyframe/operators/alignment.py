@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,31 +38,66 @@ def resolve_starts(videos: DataFrame, reports: DataFrame, offset_hours: float =
     return out.select(*videos.columns, found.alias("start_us"), source.alias("start_source"))
 
 
-def choose_logs(videos: DataFrame, logs: DataFrame, few_logs: int = 100_000) -> DataFrame:
+#: Logs that may be held by every task (24 bytes each).
+FEW_LOGS = 20_000
+_CHOSEN = ("log_file", "folder", "log_start_us", "log_end_us", "overlap_sec")
+
+
+def choose_logs(videos: DataFrame, logs: DataFrame, few_logs: int = FEW_LOGS) -> DataFrame:
     """Per video (``video, start_us, duration_sec`` or null) the log of the greatest
     key: overlap at all, seconds of overlap, holding the start, nearness of its
-    start, nearness of either end; of equal ones the first by ``ord``.
-
-    The key ranks every log for every video, as the least near log may be the only
-    one, so the logs are the small side: with ``few_logs`` of them at most (24 bytes
-    each) they are held as one array per task.  Beyond that each video needs only
-    logs that overlap it, hold its start, or are nearest, which as-of lookups find;
-    both ways choose the same log.
+    start, nearness of either end; of equal ones the first by ``ord``.  Videos
+    without a start have no row, of repeated ones the earliest start counts; logs
+    have a start, an end and an ``ord`` each.
+
+    With few logs (a count decides) each task holds their times as arrays and looks
+    up each video there.  Beyond that each video meets only logs that share a time
+    bucket with it or are nearest, which as-of lookups find; both ways choose the
+    same log.
     """
-    n = logs.count()
-    if n > few_logs:
-        logs = _near_logs(videos, logs)
-        pairs = videos.join(logs, "video")
-    else:
-        pairs = videos.join(F.broadcast(logs), F.lit(True))
     end = F.col("start_us") + F.bround(F.col("duration_sec") * _US).cast("bigint")
-    shared = F.least(end, F.col("end_us")) - F.greatest(F.col("start_us"), F.col("log_start_us"))
-    overlap_us = F.when(F.col("duration_sec").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), shared)).cast("bigint")
+    asked = videos.where("start_us is not null").groupBy("video").agg(F.min(F.struct("start_us", end.alias("_end"))).alias("v")).select("video", "v.*")
+    if logs.count() <= few_logs:
+        return _choose_in_memory(asked, logs)
+    pairs = asked.join(_near_logs(videos, logs), "video")
+    shared = F.least("_end", "end_us") - F.greatest("start_us", "log_start_us")
+    overlap_us = F.when(F.col("_end").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), shared)).cast("bigint")
     from_start, from_end = F.abs(F.col("log_start_us") - F.col("start_us")), F.abs(F.col("end_us") - F.col("start_us"))
     holds = F.col("start_us").between(F.col("log_start_us"), F.col("end_us"))
     key = F.struct((overlap_us > 0).alias("any"), overlap_us.alias("us"), holds.alias("holds"), (-from_start).alias("near"), (-F.least(from_start, from_end)).alias("edge"), (-F.col("ord")).alias("first"))
     chosen = F.max_by(F.struct("log_file", "folder", F.col("log_start_us").alias("log_start_us"), F.col("end_us").alias("log_end_us"), (overlap_us / F.lit(_US)).alias("overlap_sec")), key)
-    return pairs.where("start_us is not null").groupBy("video").agg(chosen.alias("c")).select("video", "c.*")
+    return pairs.groupBy("video").agg(chosen.alias("c")).select("video", "c.*")
+
+
+def _choose_in_memory(asked: DataFrame, logs: DataFrame) -> DataFrame:
+    """The logs' times go along with the code, in the order that settles ties; names
+    are joined afterwards.  A repeated video is asked once."""
+    held = sorted((r["ord"], r["log_start_us"], r["end_us"]) for r in logs.select("ord", "log_start_us", "end_us").toLocalIterator())
+    ords, starts, ends = (np.array([h[c] for h in held], np.int64) for c in range(3))
+
+    def choose(start: int, end: int | None) -> tuple[int, int]:
+        """(place in the arrays, micros of overlap)."""
+        shared = np.maximum(0, np.minimum(end, ends) - np.maximum(start, starts)) if end is not None else np.zeros(len(held), np.int64)
+        most = int(shared.max())
+        left = np.flatnonzero(shared == most)
+        holds = (starts[left] <= start) & (start <= ends[left])
+        left = left[holds] if holds.any() else left
+        away = np.abs(starts[left] - start)
+        left = left[away == away.min()]
+        edge = np.minimum(np.abs(starts[left] - start), np.abs(ends[left] - start))
+        return int(left[edge.argmin()]), most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [choose(s, e) for s, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())] if held else []
+            n = len(found)
+            columns = [batch.column(0).slice(0, n), pa.array([int(ords[k]) for k, _ in found], pa.int64()), pa.array([us for _, us in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["video", "_ord", "_us"])
+
+    kind = asked.schema["video"].dataType.simpleString()
+    found = asked.mapInArrow(run, f"video {kind}, _ord long, _us long")
+    names = logs.select(F.col("ord").alias("_ord"), "log_file", "folder", F.col("log_start_us"), F.col("end_us").alias("log_end_us"))
+    return found.join(names, "_ord").select("video", *[(F.col("_us") / F.lit(_US)).alias(c) if c == "overlap_sec" else c for c in _CHOSEN])
 
 
 def named_logs(index: DataFrame) -> DataFrame:
@@ -66,15 +105,19 @@ def named_logs(index: DataFrame) -> DataFrame:
     return index.withColumnRenamed("start_us", "log_start_us")
 
 
-def _near_logs(videos: DataFrame, logs: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
+def _near_logs(videos: DataFrame, logs: DataFrame, least_us: int = 3_600_000_000) -> DataFrame:
     """``video`` and log columns: all logs sharing a time bucket with the video, and
-    of the logs of the nearest start on either side those that can win.
+    of the logs of the nearest start on either side those that can win.  A bucket is
+    as long as the mean log, so logs are dealt to three buckets each on average.
 
     Only those matter beyond the shared buckets, as nearness of the start comes
     first there.  Of the logs of one start either one with the nearest end wins, or,
     if no end is nearer than the start, the first by ``ord``."""
     from .timeseries import bracket
 
+    mean = logs.agg(F.avg(F.col("end_us") - F.col("log_start_us"))).first()[0]
+    bucket_us = max(least_us, int(mean or 0))
+
     def buckets(a, b):
         return F.explode(F.sequence(F.floor(a / bucket_us), F.floor(b / bucket_us)))
 

@@ -91,8 +91,9 @@ def records(tokens: DataFrame, formats: DataFrame) -> DataFrame:
     known = formats.select("log_file", "message", "columns").where(F.size("columns") > 0)
     lines = tokens.where("message != 'FMT'").join(known, ["log_file", "message"])
     parts = F.transform(F.split(F.col("line"), ",", F.size("columns") + 1), strip)
-    values = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    padded = F.concat(values, F.array_repeat(F.lit(""), F.greatest(F.size("columns") - F.size(values), F.lit(0))))
+    blank = lambda p: F.array_repeat(F.lit(""), F.greatest(F.size("columns") + 1 - F.size(p), F.lit(0)))
+    filled = F.transform(F.array(parts), lambda p: F.slice(F.concat(p, blank(p)), 2, F.size("columns")))  # the parts are made once
+    padded = F.get(filled, F.lit(0))
     return lines.select("log_file", "line_no", "message", "columns", padded.alias("values"))
 
 
@@ -129,8 +130,8 @@ def enrich(recs: DataFrame, fixes: DataFrame) -> DataFrame:
     ``utc_gps`` (text; null for types whose first record has no exact time)."""
     timed = recs.withColumn("time_us", parse_time_us(_value("TimeUS")))
     based = time_base(fixes.select("log_file", "time_us", "utc_us"), timed, "log_file", "time_us")
-    first = recs.groupBy("log_file", "message").agg(F.min_by(exact_utc_us(), "line_no").alias("_first"))
-    out = based.join(first.where("_first is not null").select("log_file", "message", F.lit(True).alias("_exact")), ["log_file", "message"], "left")
+    first = recs.where(has_exact_time()).groupBy("log_file", "message").agg(F.min_by(F.struct("columns", "values"), "line_no").alias("r")).select("log_file", "message", "r.*")
+    out = based.join(first.where(exact_utc_us().isNotNull()).select("log_file", "message", F.lit(True).alias("_exact")), ["log_file", "message"], "left")
     return out.select(
         "log_file",
         "line_no",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.geo import window_origin
 
@@ -55,7 +59,7 @@ def tiles_near(probes: DataFrame, tiles: DataFrame, radius_px: float, x: str = "
     return around.join(placed, ["_cx", "_cy"]).where(dx * dx + dy * dy <= float(radius_px) ** 2).drop("_cx", "_cy")
 
 
-#: Tiles that may be held as one array in every task (about 40 bytes each).
+#: Tiles that may be held by every task (24 bytes each).
 FEW_TILES = 20_000
 
 
@@ -63,21 +67,63 @@ def nearest_tiles(probes: DataFrame, tiles: DataFrame, k: int, x: str = "x", y:
     """Per probe the ``k`` (at least 1) nearest tiles of all sizes, ties by index
     order: the probe's columns, ``rank`` from 0, ``tile_ord, distance_sq``.
 
-    With few tiles (a count decides) the search is one array expression per probe,
-    without a shuffle.  Beyond that a coarse grid of tile counts tells how far each
+    With few tiles (a count decides) the search is a matrix of distances for each
+    batch of probes, without a shuffle.  Beyond that a coarse grid of tile counts tells how far each
     probe must look, and probes meet tiles by coarse cell within that distance.
     Either way a repeated probe row gets its tiles as often as it occurs, and one
     whose place is null, NaN or infinite the first tiles of the index.
     """
     k = max(1, k)
     if tiles.count() <= few_tiles:
-        array = tiles.agg(F.sort_array(F.collect_list(F.struct("tile_ord", F.col("center_x_px").cast("double").alias("cx"), F.col("center_y_px").cast("double").alias("cy")))).alias("_tiles"))
-        near = F.slice(F.array_sort(F.transform("_tiles", lambda t: F.struct(((t.cx - F.col(x)) * (t.cx - F.col(x)) + (t.cy - F.col(y)) * (t.cy - F.col(y))).alias("distance_sq"), t.tile_ord.alias("tile_ord")))), 1, k)
-        out = probes.join(F.broadcast(array), F.lit(True)).select(*probes.columns, F.posexplode(near).alias("rank", "_n"))
-        return out.select(*probes.columns, F.col("rank").cast("bigint").alias("rank"), "_n.tile_ord", "_n.distance_sq")
+        return _nearest_in_memory(probes, tiles, k, x, y)
     return _nearest_by_rings(probes, tiles, k, x, y)
 
 
+def _nearest_in_memory(probes: DataFrame, tiles: DataFrame, k: int, x: str, y: str) -> DataFrame:
+    """Each batch of probes against all tiles at once; the index is small (a count has
+    decided) and goes along with the code."""
+    index = sorted((r["tile_ord"], float(r["center_x_px"]), float(r["center_y_px"])) for r in tiles.select("tile_ord", "center_x_px", "center_y_px").toLocalIterator())
+    ords = np.array([t[0] for t in index], np.int64)
+    cx, cy = (np.array([t[c] for t in index]) for c in (1, 2))
+    take = min(k, len(index))
+    step = max(1, 2_000_000 // max(1, len(index)))
+
+    def search(px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the index, squared distances), each probes x ``take``."""
+        with np.errstate(invalid="ignore", over="ignore"):
+            away = (cx - px[:, None]) ** 2 + (cy - py[:, None]) ** 2
+        key = np.where(np.isfinite(away), away, np.inf)
+        if take < len(index):  # all within the k-th distance, ties included
+            near = key <= np.partition(key, take - 1, axis=1)[:, take - 1 : take]
+            row, place = np.nonzero(near)
+            order = np.lexsort((place, key[row, place], row))
+            row, place = row[order], place[order]
+            first = np.searchsorted(row, np.arange(len(px)))
+            place = place[first[:, None] + np.arange(take)]
+        else:
+            place = np.argsort(key, axis=1, kind="stable")
+        return place, np.take_along_axis(away, place, axis=1)
+
+    names = [*probes.columns, "rank", "tile_ord", "distance_sq"]
+    width = len(probes.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                px, py = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (0, 1))
+                place, away = search(px, py)
+                n = part.num_rows
+                rows = pa.Table.from_batches([part]).take(pa.array(np.repeat(np.arange(n), take)))
+                unplaced = np.repeat([not (p.is_valid and q.is_valid) for p, q in zip(part.column(0), part.column(1))] if part.column(0).null_count or part.column(1).null_count else np.zeros(n, bool), take)
+                own = [rows.column(c + 2).combine_chunks() for c in range(width)]
+                found = [pa.array(np.tile(np.arange(take), n)), pa.array(ords[place.ravel()]), pa.array(away.ravel(), mask=unplaced)]
+                yield pa.RecordBatch.from_arrays([*own, *found], names)
+
+    schema = StructType([*probes.schema.fields, StructField("rank", LongType()), StructField("tile_ord", LongType()), StructField("distance_sq", DoubleType())])
+    return probes.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *[F.col(f"`{c}`") for c in probes.columns]).mapInArrow(run, schema)
+
+
 def _nearest_by_rings(probes: DataFrame, tiles: DataFrame, k: int, x: str, y: str) -> DataFrame:
     """Each probe's first ring is the distance that surely holds k tiles: that of its
     k-th nearest among a coarse sample of the index, one tile per coarse cell."""

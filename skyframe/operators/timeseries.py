@@ -3,7 +3,8 @@
 Points and probes meet by union, not by join: each lands in a (key, time bucket)
 and looks at its neighbours there; what lies in other buckets is carried in from
 one summary row per bucket.  So a single long series is spread over its buckets,
-rows are shuffled once, and no row is multiplied.
+rows are shuffled once, and no row is multiplied.  Inside a bucket the windows only
+grow, so the work is in proportion to its rows, but for sorting them.
 """
 
 from __future__ import annotations
@@ -30,49 +31,57 @@ def bracket(
     and ``last_t`` of the key's series.
 
     ``lo`` is the last point strictly before the probe's time, ``hi`` the first at
-    or after it; null where there is none, or no time.  Of points of one time, the first in
-    ``order`` serves as ``hi`` and the last as ``lo``; at the series' last time, the
-    last serves as ``hi`` too.  Points without key or time are passed over.
+    or after it; null where there is none.  Of points of one time, the first in
+    ``order`` (nulls first) serves as ``hi`` and the last as ``lo``; at the series'
+    last time, the last serves as ``hi`` too.  Points without key or time are passed
+    over; probes without one have no neighbours.
     """
     ordinal = F.col(order) if order else F.lit(0)
     point = F.struct(F.col(time).alias("t"), *[F.col(v).alias(v) for v in values])
-    moments = (
-        points.where(F.col(key).isNotNull() & F.col(time).isNotNull())
-        .groupBy(F.col(key).alias("_key"), F.col(time).alias("_t"))
-        .agg(F.min_by(point, ordinal).alias("_first"), F.max_by(point, ordinal).alias("_last"))
-        .select("_key", "_t", "_first", "_last", F.lit(None).cast(probes.schema).alias("_probe"))
-    )
-    asked = probes.select(F.col(key).alias("_key"), F.col(time).alias("_t"), F.struct(*[F.col(c) for c in probes.columns]).cast(probes.schema).alias("_probe"))
-    empty = [F.lit(None).cast(moments.schema[c].dataType).alias(c) for c in ("_first", "_last")]
-    rows = moments.unionByName(asked.select("_key", "_t", *empty, "_probe")).withColumn("_bucket", F.floor(F.col("_t") / bucket_us).cast("bigint"))
-
-    by_key = Window.partitionBy("_key").orderBy("_bucket")
+    # neither can be null, so that no filter on them tells the two uses of the rows apart
+    owner = F.struct(F.col(key).alias("k"))
+    bucket = F.coalesce(F.floor(F.col(time) / bucket_us).cast("bigint"), F.lit(0).cast("bigint"))
+    known = points.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    known = known.select(owner.alias("_key"), bucket.alias("_bucket"), F.col(time).alias("_t"), ordinal.alias("_o"), point.alias("_point"))
+    kind = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
+    # probes without a key or time have no neighbours: dealt to buckets of their own
+    comparable = [F.col(f"`{f.name}`") for f in probes.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    aside = F.lit(-(1 << 62)).cast("bigint") + F.pmod(F.xxhash64(*comparable), F.lit(1024))
+    placed = F.col(key).isNotNull() & F.col(time).isNotNull()
+    asked = probes.select(owner.alias("_key"), F.when(placed, bucket).otherwise(aside).alias("_bucket"), F.when(placed, F.col(time)).alias("_t"), kind.alias("_probe"))
+    none = lambda of, c: F.lit(None).cast(of.schema[c].dataType).alias(c)
+    rows = known.select("*", none(asked, "_probe")).unionByName(asked.select("_key", "_bucket", "_t", none(known, "_o"), none(known, "_point"), "_probe"))
+    rows = rows.repartition("_key", "_bucket")  # one exchange serves the summary and the windows
+
+    place = F.struct("_t", "_o")
     summary = rows.groupBy("_key", "_bucket").agg(
-        F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col("_t"))).alias("_opens"),
-        F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_t"))).alias("_closes"),
+        F.min_by("_point", F.when(F.col("_point").isNotNull(), place)).alias("_opens"),
+        F.max_by("_point", F.when(F.col("_point").isNotNull(), place)).alias("_closes"),
+        F.count("_probe").alias("_asked"),
     )
-    ever = Window.partitionBy("_key")
-    carried = summary.select(
-        F.col("_key").alias("_k"),
-        F.col("_bucket").alias("_b"),
-        F.last("_closes", ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_opens", ignorenulls=True).over(by_key.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    ever = Window.partitionBy("_k")
+    earlier = ever.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    later = ever.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.withColumnsRenamed({"_key": "_k", "_bucket": "_b"}).select(
+        "_k",
+        "_b",
+        F.last("_closes", ignorenulls=True).over(earlier).alias("_before"),
+        F.last("_opens", ignorenulls=True).over(later).alias("_after"),
         F.min("_opens.t").over(ever).alias("first_t"),
-        F.max("_closes.t").over(ever).alias("last_t"),
+        F.max_by("_closes", F.when(F.col("_closes").isNotNull(), F.col("_b"))).over(ever).alias("_final"),
+        "_asked",
     )
-    inside = Window.partitionBy("_key", "_bucket").orderBy("_t")
-    seen = rows.withColumns(
-        {
-            "_lo": F.last("_last", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, -1)),
-            "_hi": F.first("_first", ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing)),
-            "_end": F.last("_last", ignorenulls=True).over(inside.rangeBetween(0, 0)),
-        }
-    ).where("_probe is not null")
-    same = F.col("_key").eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b"))
-    out = seen.join(carried, same, "left")
-    hi = F.when((F.col("_t") == F.col("last_t")) & F.col("_end").isNotNull(), F.col("_end")).otherwise(F.coalesce("_hi", "_after"))
-    timed = lambda c: F.when(F.col("_t").isNotNull(), c)
-    return out.select("_probe.*", timed(F.coalesce("_lo", "_before")).alias("lo"), timed(hi).alias("hi"), "first_t", "last_t")
+    # frames only ever grow, so each row is looked at once: forward, a probe comes before
+    # the points of its time, backward after them
+    inside = Window.partitionBy("_key", "_bucket")
+    is_point = F.col("_point").isNotNull()
+    upward = inside.orderBy("_t", is_point, "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    downward = inside.orderBy(F.desc("_t"), is_point.desc(), F.desc("_o")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumns({"_lo": F.last("_point", ignorenulls=True).over(upward), "_hi": F.last("_point", ignorenulls=True).over(downward)}).where("_probe is not null")
+    carried = carried.where((F.col("_b") >= F.lit(-(1 << 61))) & (F.col("_asked") > 0)).drop("_asked")
+    out = seen.join(carried, (F.col("_key") == F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
+    hi = F.when(F.col("_t") == F.col("_final.t"), F.col("_final")).otherwise(F.coalesce("_hi", "_after"))
+    return out.select("_probe.*", F.coalesce("_lo", "_before").alias("lo"), hi.alias("hi"), "first_t", F.col("_final.t").alias("last_t"))
 
 
 def fraction(time: Column, lo: Column, hi: Column) -> Column:
@@ -117,15 +126,27 @@ def anchor_ends(anchors: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return heads.join(tails, key)
 
 
+def _free(columns: list[str], *names: str) -> list[str]:
+    """The names, made longer until no column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def time_base(anchors: DataFrame, rows: DataFrame, key: str, x: str, y: str = "utc_us", out: str = "utc_us", bucket_us: int = BUCKET_US) -> DataFrame:
     """``rows`` with the time ``out`` (micros) that anchors (x, y) give to each x:
     linear between neighbours, from the two end anchors beyond them, constant for a
     single anchor, null without anchors or x.  Seconds are computed as doubles."""
     points = anchors.select(F.col(key), F.col(x), (F.col(y) / F.lit(1_000_000)).alias("_sec"))
-    found = bracket(points, rows.drop(out) if out in rows.columns else rows, key, x, ["_sec"], "_sec", bucket_us)
-    ends = anchor_ends(points.where(F.col(x).isNotNull()), key, x, "_sec").withColumnRenamed(key, "_owner")
-    joined = found.join(ends, F.col(key).eqNullSafe(F.col("_owner")), "left")
-    head, tail, t = F.col("head"), F.col("tail"), F.col(x)
+    first, last, owner, packed = _free([key, x], "head", "tail", "_owner", "_row")
+    asked = rows.select(key, x, F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(packed))
+    found = bracket(points, asked, key, x, ["_sec"], "_sec", bucket_us)
+    ends = anchor_ends(points.where(F.col(x).isNotNull()), key, x, "_sec").withColumnsRenamed({key: owner, "head": first, "tail": last})
+    joined = found.join(ends, F.col(key) == F.col(owner), "left")  # one row a key
+    head, tail, t = F.col(first), F.col(last), F.col(x)
 
     def along(a: Column, b: Column) -> Column:
         gap = (b["x"] - a["x"]).cast("double")
@@ -141,7 +162,7 @@ def time_base(anchors: DataFrame, rows: DataFrame, key: str, x: str, y: str = "u
         .otherwise(inner)
     )
     micros = F.bround(seconds * 1_000_000).cast("bigint")
-    return joined.select(*[c for c in rows.columns if c != out], micros.alias(out))
+    return joined.select(*[F.col(f"{packed}.`{c}`").alias(c) for c in rows.columns if c != out], micros.alias(out))
 
 
 def fuse_navigation(probes: DataFrame, ahr: DataFrame, gps: DataFrame, imu: DataFrame, key: str = "flight", time: str = "t", order: str | None = "line_no", bucket_us: int = BUCKET_US) -> DataFrame:
