@@ -221,16 +221,26 @@ def _null_rate(weights: np.ndarray, chances: np.ndarray, gap_cost: float) -> flo
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Newton steps for a lightly ridged logistic regression."""
+    """Newton steps for a lightly ridged logistic regression.  A step is halved until
+    it lowers the loss: full steps run away where the labels are separable."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float(np.logaddexp(0, z).sum() - y @ z + at @ penalty @ at / 2)
+
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+        share = 1.0
+        while share > 1e-9 and not (then := loss(w + share * step)) < now:
+            share /= 2
+        if share <= 1e-9 or now - then < 1e-10 * max(1.0, now):
             break
+        w, now = w + share * step, then
     return tuple(map(float, w))
 
 
@@ -320,8 +330,11 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
         scanner.known.clear()
         release()
 
-    out = docs.withColumn("_scan", scan(F.col(text_col).cast("string")))
-    return out.withColumns({"score": F.col("_scan.score"), "passages": F.col("_scan.passages"), "predicted": (F.col("_scan.score") >= 0.5).cast("int")}).drop("_scan")
+    told = ["score", "passages", "predicted"]
+    kept = [c for c in docs.columns if c.lower() not in told]
+    out = packed(docs, _scan=scan(F.col(f"`{text_col}`").cast("string")))  # no column of the table can clash
+    own = [F.col(f"_in.`{c}`").alias(c) for c in kept]
+    return out.select(*own, "_scan.score", "_scan.passages", (F.col("_scan.score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
