@@ -94,9 +94,20 @@ class TransverseMercator:
         return F.degrees(phi), self.central_meridian + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
 
 
+@dataclass(frozen=True)
+class Geographic:
+    """Maps whose coordinates are degrees: x is the longitude, y the latitude."""
+
+    def forward(self, lat: Column, lon: Column) -> tuple[Column, Column]:
+        return lon, lat
+
+    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        return y, x
+
+
 @dataclass(frozen=True)
 class GeoRaster:
-    """A raster's place: affine (a b c; d e f) from pixels to projected metres, the
+    """A raster's place: affine (a b c; d e f) from pixels to the map's coordinates, the
     scale of the resized raster, and the projection."""
 
     a: float
@@ -108,7 +119,7 @@ class GeoRaster:
     width_px: int
     height_px: int
     scale: float = 1.0
-    projection: TransverseMercator = TransverseMercator()
+    projection: TransverseMercator | Geographic = TransverseMercator()
 
     @classmethod
     def resized(cls, affine: tuple[float, ...], width: int, height: int, resize_width: int | None, projection: TransverseMercator = TransverseMercator()) -> GeoRaster:

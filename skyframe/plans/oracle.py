@@ -14,9 +14,11 @@ _LINES = f"""{_E}, numbered AS (
   SELECT *, 'log' || (user_id % 10) AS log_file, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n FROM e
 ), lines AS (
   SELECT log_file, n AS line_no, event_id, CASE
+    WHEN n % 97 = 5 AND event_type = 'purchase' THEN 'FMT,1,9,purchase,Qd,TimeUS, GWk ,GMS,C' || (n % 7)
     WHEN n % 97 = 5 AND event_type <> 'error' THEN 'FMT,1,9,' || event_type || ',Qd,TimeUS, Val ,C' || (n % 7)
     WHEN n % 11 = 3 THEN 'GPS,' || (n * 1000) || ',0,' || (n % 5) || ',' || (event_id * 200) || ',2245,x'
     WHEN n % 13 = 1 THEN 'note é ' || event_id
+    WHEN event_type = 'purchase' THEN 'purchase,' || (n * 1000) || ',2245,' || (event_id * 200) || ',b,c'
     ELSE event_type || ',' || (n * 1000) || ',' || event_id || ',a,b,c' END AS line FROM numbered
 ), tok AS (
   SELECT log_file, line_no, line, list_transform(string_split(line, ','), lambda x: {_STRIP}) AS tokens FROM lines
@@ -86,13 +88,13 @@ def _asof(points: str, probes: str, key: str, values: dict[str, bool], out: str)
   {out} AS (SELECT probe, {shown} FROM (SELECT *, (t - l_t)::DOUBLE / (h_t - l_t) AS alpha FROM {out}_hi LEFT JOIN {out}_ends USING ({key})))"""
 
 
-_PROBES = "probes AS (SELECT event_id AS probe, user_id, t FROM e WHERE event_type = 'error')"
+_PROBES = "probes AS (SELECT event_id AS probe, user_id, t FROM e)"
 
 # --- C -----------------------------------------------------------------------
 
 _VIDEOS = f"""{_E}, videos AS (
   SELECT event_id, t, '/cam/' || CASE WHEN event_id % 2 = 0 THEN strftime(make_timestamp(t + 10800000000), '%Y_%m%d_%H%M%S') ELSE 'clip' END || '_' || event_id || '.MP4' AS video
-  FROM e WHERE event_type = 'error'
+  FROM e
 ), named AS (
   SELECT *, CASE WHEN regexp_matches(video, '\\d{{4}}_\\d{{4}}_\\d{{6}}')
     THEN epoch_us(strptime(regexp_extract(video, '\\d{{4}}_\\d{{4}}_\\d{{6}}'), '%Y_%m%d_%H%M%S')) - 10800000000 END AS stamp FROM videos
@@ -130,7 +132,7 @@ def _through(x: str, y: str) -> tuple[str, str]:
 
 
 _MATCHES = f"""raw AS (
-  SELECT l_suppkey % 50 AS pair, l_orderkey AS k, l_linenumber AS n, l_extendedprice % 800 AS qx, (l_partkey * 7::DOUBLE) % 600 AS qy FROM lineitem WHERE l_orderkey % 40 IN (1, 2)
+  SELECT l_suppkey AS pair, l_orderkey AS k, l_linenumber AS n, l_extendedprice % 800 AS qx, (l_partkey * 7::DOUBLE) % 600 AS qy FROM lineitem
 ), matches AS (
   SELECT *, {_through("qx", "qy")[0]} AS px, {_through("qx", "qy")[1]} AS py, CASE WHEN (k + n) % 6 = 0 THEN 150::DOUBLE + k % 97 ELSE 0::DOUBLE END AS off FROM raw
 )"""
@@ -174,15 +176,15 @@ FROM typed t ANTI JOIN formats f ON f.log_file = t.log_file AND f.message = t.me
 WITH {_E}, u AS (SELECT event_id, 315964800000000 + (2200 + user_id % 100) * 604800000000 + event_id * 250000 - 18000000 AS utc_us FROM e)
 SELECT event_id, utc_us, {_TEXT.format("utc_us")} AS utc FROM u""",
     "a_time_base": f"""
-WITH {_E}, ranked AS (SELECT user_id, t AS x, trunc(value * 1000000)::BIGINT / 1000000::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM e WHERE event_type = 'signup'),
-  points AS (SELECT user_id, x, y FROM ranked WHERE k BETWEEN 3 AND 6), probes AS (SELECT event_id, user_id, t AS x FROM e WHERE event_type = 'error'),
+WITH {_E}, points AS (SELECT user_id, t AS x, trunc(value * 1000000)::BIGINT / 1000000::DOUBLE AS y FROM e WHERE event_type = 'signup'), probes AS (SELECT event_id, user_id, t AS x FROM e),
   {_base("points", "probes", "user_id")}
 SELECT event_id, round(round_even(sec * 1000000, 0)::BIGINT / 1000000::DOUBLE, 3) AS seconds FROM based""",
     "a_enriched": f"""
 WITH {_RECORDS}, {_FIXES}, points AS (SELECT log_file, time_us AS x, utc_us / 1000000::DOUBLE AS y FROM fixes),
-  probes AS (SELECT log_file, line_no, message, CASE WHEN list_contains(cols, 'TimeUS') THEN CAST(vals[list_position(cols, 'TimeUS')] AS BIGINT) END AS x, list_contains(cols, 'TimeUS') AS has_time FROM recs),
+  probes AS (SELECT log_file, line_no, message, CASE WHEN list_contains(cols, 'TimeUS') THEN CAST(vals[list_position(cols, 'TimeUS')] AS BIGINT) END AS x, list_contains(cols, 'TimeUS') AS has_time,
+    CASE WHEN list_contains(cols, 'GWk') THEN 315964800000000 + CAST(vals[list_position(cols, 'GWk')] AS BIGINT) * 604800000000 + CAST(vals[list_position(cols, 'GMS')] AS BIGINT) * 1000 - 18000000 END AS own_us FROM recs),
   {_base("points", "probes", "log_file")}
-SELECT log_file, line_no, message, CASE WHEN has_time THEN coalesce(substr({_TEXT.format("round_even(sec * 1000000, 0)::BIGINT")}, 1, 22), '') END AS utc_approx, false AS has_gps FROM based""",
+SELECT log_file, line_no, message, CASE WHEN has_time THEN coalesce({_TEXT.format("round_even(sec * 1000000, 0)::BIGINT")}, '') END AS utc_approx, {_TEXT.format("own_us")} AS utc_gps FROM based""",
     "a_formats": f"""WITH {_LINES} SELECT log_file, message AS "Message", array_to_string(cols, ', ') AS "Columns" FROM formats""",
     "a_message_summary": f"""
 WITH {_COUNTED}
@@ -228,7 +230,7 @@ WITH {_VIDEOS} SELECT n.event_id, coalesce(c.start_us, n.stamp) AS start_us, CAS
 FROM named n LEFT JOIN cached c USING (video)""",
     "c_choose_log": f"""
 WITH {_E}, logs AS (SELECT user_id AS ord, 'log' || user_id AS log_file, 'f' || user_id AS folder, min(t) AS s, max(t) AS z FROM e WHERE event_type = 'signup' GROUP BY 1),
-  v AS (SELECT event_id AS video, t, CASE WHEN event_id % 4 <> 0 THEN (event_id % 1000) * 60000000 END AS dur FROM e WHERE event_type = 'error'),
+  v AS (SELECT event_id AS video, t, CASE WHEN event_id % 4 <> 0 THEN (event_id % 1000) * 60000000 END AS dur FROM e),
   k AS (SELECT *, CASE WHEN dur IS NULL THEN 0 ELSE greatest(0, least(t + dur, z) - greatest(t, s)) END AS us FROM v, logs),
   r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY us > 0 DESC, us DESC, (t BETWEEN s AND z) DESC, abs(s - t), least(abs(s - t), abs(z - t)), ord) AS n FROM k)
 SELECT video, log_file, folder, round(us / 1000000::DOUBLE, 6) AS overlap_sec FROM r WHERE n = 1""",
@@ -301,7 +303,10 @@ SELECT video, frame_index, CASE WHEN score IS NULL THEN 'lost' ELSE 'localized'
   shown_x AS map_center_x_px, shown_y AS map_center_y_px, score, coalesce(tile_id, '') AS tile_id FROM d""",
     "g_global_track": f"WITH {_TRACK} {_GLOBAL}",
     "g_result_rows": f"""
-WITH {_TRACK} SELECT video, frame_index, round_even(frame_index / 30::DOUBLE, 3) AS "VideoTimeSec", coalesce(printf('%.2f', shown_x), '') AS "MapCenterXPx", CASE WHEN score IS NULL THEN 0 ELSE 25 END::BIGINT AS match_count FROM track""",
+WITH {_TRACK} SELECT frame_index::VARCHAR AS "FrameIndex", round_even(frame_index / 30::DOUBLE, 3)::VARCHAR AS "VideoTimeSec", CASE WHEN score IS NULL THEN 'lost' ELSE 'localized' END AS "Status", 'global' AS "SearchMode",
+  CASE WHEN score IS NULL THEN '' ELSE '39.80000000' END AS "Latitude", CASE WHEN score IS NULL THEN '' ELSE '32.30000000' END AS "Longitude", coalesce(printf('%.2f', shown_x), '') AS "MapCenterXPx", coalesce(printf('%.2f', shown_y), '') AS "MapCenterYPx",
+  coalesce(printf('%.4f', score), '') AS "Score", coalesce(tile_id, '') AS "TileId", CASE WHEN score IS NULL THEN '0' ELSE '25' END AS "MatchCount", CASE WHEN score IS NULL THEN '0' ELSE '13' END AS "InlierCount",
+  CASE WHEN score IS NULL THEN '0.0000' ELSE '0.5200' END AS "InlierRatio", CASE WHEN score IS NULL THEN '0.0000' ELSE '0.2000' END AS "MeanMatchConfidence", CASE WHEN score IS NULL THEN '' ELSE '2.2000' END AS "ReprojectionErrorPx" FROM track""",
     "h_run_summary": f"WITH {_TRACK} SELECT video, count(*) AS frames, count(score) AS localized, round(avg(score), 9) AS mean_score FROM track GROUP BY video",
     "i_submitted": f"WITH {_FRAMES} SELECT event_id, video, frame_index FROM frames WHERE frame_index % 5 = 0",
     "i_latest_wins": f"""
@@ -324,5 +329,9 @@ WITH p AS (SELECT p_partkey, p_size * 41 + 100 AS w, p_partkey % 1500 + 50 AS h
   b AS (SELECT p_partkey, greatest(1, round_even(w * s, 0))::BIGINT AS width, greatest(1, round_even(h * s, 0))::BIGINT AS height FROM s)
 SELECT *, (960 - width) // 2 AS offset_x, (540 - height) // 2 AS offset_y FROM b""",
     "i_telemetry_prior": f"""
-WITH {_E} SELECT event_id, round((((value * 10) % 1600) + 1600) % 1600, 3) AS prior_x, round((((value * 3) % 1200) + 1200) % 1200, 3) AS prior_y FROM e WHERE event_type = 'view'""",
+WITH {_E}, {_PROBES}, p AS (SELECT user_id, t, event_type, (((value * 10) % 1600) + 1600) % 1600 AS px, (((value * 3) % 1200) + 1200) % 1200 AS py FROM e),
+  ahr AS (SELECT user_id, t, px, py FROM p WHERE event_type = 'view'), gps AS (SELECT user_id, t, px, py FROM p WHERE event_type = 'click'),
+  {_asof("ahr", "probes", "user_id", {"px": False, "py": False}, "a")},
+  {_asof("gps", "probes", "user_id", {"px": False, "py": False}, "g")}
+SELECT probe AS event_id, round(coalesce(a.px, g.px), 3) AS prior_x, round(coalesce(a.py, g.py), 3) AS prior_y FROM a JOIN g USING (probe)""",
 }

@@ -14,6 +14,7 @@ from ..functions.scalars import file_stamp_us, first_non_empty, gps_to_utc_us, i
 from ..operators import alignment, logs, matching, tiles, timeseries
 from ..session import configure
 from ..sources.logs import sync_reports
+from ..sources.results import result_text
 from ..streaming import live
 from . import localize
 from .config import LocalizeConfig
@@ -21,6 +22,9 @@ from .config import LocalizeConfig
 US = 1_000_000
 GRID = geo.GeoRaster(0.25, 0.01, 400_000.0, 0.02, -0.25, 4_400_000.0, width_px=1600, height_px=1200, scale=0.5, projection=geo.TransverseMercator.utm(36))
 
+#: A map in degrees.
+DEGREES = geo.GeoRaster(0.001, 0.0, 30.0, 0.0, -0.001, 40.0, width_px=1600, height_px=1200, scale=0.5, projection=geo.Geographic())
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
@@ -39,16 +43,19 @@ def r6(c: Column | str) -> Column:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as log text, one log per ten users: FMT lines declare a type on its
-    first use by the log's users divisible by three; GPS-like lines carry fixes."""
+    """Events as log text, one log per ten users: FMT lines declare types, ``purchase``
+    with a GPS time of its own; GPS-like lines carry fixes."""
     e = events(spark, sf_dir).withColumn("log_file", F.concat(F.lit("log"), F.col("user_id") % 10))
     rank = F.row_number().over(Window.partitionBy("log_file").orderBy("event_id"))
     e = e.withColumn("n", rank.cast("bigint"))
     declares = (F.col("n") % 97 == 5) & (F.col("event_type") != "error")
+    exact = F.col("event_type") == "purchase"
     line = (
-        F.when(declares, F.concat_ws(",", F.lit("FMT"), F.lit("1"), F.lit("9"), "event_type", F.lit("Qd"), F.lit("TimeUS"), F.lit(" Val "), F.concat(F.lit("C"), (F.col("n") % 7).cast("string"))))
+        F.when(declares & exact, F.concat_ws(",", F.lit("FMT"), F.lit("1"), F.lit("9"), "event_type", F.lit("Qd"), F.lit("TimeUS"), F.lit(" GWk "), F.lit("GMS"), F.concat(F.lit("C"), (F.col("n") % 7).cast("string"))))
+        .when(declares, F.concat_ws(",", F.lit("FMT"), F.lit("1"), F.lit("9"), "event_type", F.lit("Qd"), F.lit("TimeUS"), F.lit(" Val "), F.concat(F.lit("C"), (F.col("n") % 7).cast("string"))))
         .when(F.col("n") % 11 == 3, F.concat_ws(",", F.lit("GPS"), (F.col("n") * 1000).cast("string"), F.lit("0"), (F.col("n") % 5).cast("string"), (F.col("event_id") * 200).cast("string"), F.lit("2245"), F.lit("x")))
         .when(F.col("n") % 13 == 1, F.concat(F.lit("note é "), F.col("event_id").cast("string")))
+        .when(exact, F.concat_ws(",", "event_type", (F.col("n") * 1000).cast("string"), F.lit("2245"), (F.col("event_id") * 200).cast("string"), F.lit("b,c")))
         .otherwise(F.concat_ws(",", "event_type", (F.col("n") * 1000).cast("string"), F.col("event_id").cast("string"), F.lit("a"), F.lit("b,c")))
     )
     return e.select("log_file", F.col("n").alias("line_no"), line.alias("line"))
@@ -106,11 +113,10 @@ def a_gps_to_utc(spark, sf_dir):
 
 
 def a_time_base(spark, sf_dir):
-    """Anchors are a user's third to sixth signup, so most probes lie beyond them."""
+    """Anchors are a user's signups, probes all events; the last ones lie beyond them."""
     e = events(spark, sf_dir)
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id"))
-    fixes = e.where("event_type = 'signup'").withColumn("k", nth).where("k between 3 and 6").select("user_id", F.col("t").alias("x"), (F.col("value") * US).cast("bigint").alias("utc_us"))
-    probes = e.where("event_type = 'error'").select("event_id", "user_id", F.col("t").alias("x"))
+    fixes = e.where("event_type = 'signup'").select("user_id", F.col("t").alias("x"), (F.col("value") * US).cast("bigint").alias("utc_us"))
+    probes = e.select("event_id", "user_id", F.col("t").alias("x"))
     out = timeseries.time_base(fixes, probes, "user_id", "x")
     return out.select("event_id", F.round(F.col("utc_us") / US, 3).alias("seconds"))
 
@@ -118,7 +124,7 @@ def a_time_base(spark, sf_dir):
 def a_enriched(spark, sf_dir):
     tokens, formats = _log(spark, sf_dir)
     out = logs.enrich(logs.records(tokens, formats), logs.anchors(tokens))
-    return out.select("log_file", "line_no", "message", F.substring("utc_approx", 1, 22).alias("utc_approx"), F.col("utc_gps").isNotNull().alias("has_gps"))
+    return out.select("log_file", "line_no", "message", "utc_approx", "utc_gps")
 
 
 def a_formats(spark, sf_dir):
@@ -189,7 +195,7 @@ def _series(spark, sf_dir, kind: str, *names: str) -> DataFrame:
 
 
 def _probes(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).where("event_type = 'error'").select(F.col("event_id").alias("probe"), "user_id", "t")
+    return events(spark, sf_dir).select(F.col("event_id").alias("probe"), "user_id", "t")
 
 
 def b_asof_linear(spark, sf_dir):
@@ -210,7 +216,7 @@ def b_nav_fusion(spark, sf_dir):
     ahr = e.where("event_type = 'view'").select("flight", "line_no", "t", v.alias("latitude"), (v * 2).alias("longitude"), F.when(F.col("line_no") % 4 == 0, 0.0).otherwise(v).alias("altitude_m"), F.pmod(v * 7, F.lit(360.0)).alias("yaw_deg"), (v / 2).alias("roll_deg"), (-v).alias("pitch_deg"))
     gps = e.where("event_type = 'click'").select("flight", "line_no", "t", (v + 1).alias("latitude"), (v + 2).alias("longitude"), (v + 3).alias("altitude_m"), (v / 4).alias("gps_speed_mps"), F.pmod(v * 11, F.lit(360.0)).alias("gps_course_deg"))
     imu = e.where("event_type = 'purchase'").select("flight", "line_no", "t", v.alias("imu_gyro_magnitude"))
-    probes = e.where("event_type = 'error'").select(F.col("event_id").alias("probe"), "flight", "t")
+    probes = e.select(F.col("event_id").alias("probe"), "flight", "t")
     out = timeseries.fuse_navigation(probes, ahr, gps, imu)
     names = ["latitude", "longitude", "altitude_m", "yaw_deg", "roll_deg", "pitch_deg", "gps_speed_mps", "gps_course_deg", "imu_gyro_magnitude"]
     return out.select("probe", *[r6(c).alias(c) for c in names])
@@ -220,8 +226,8 @@ def b_nav_fusion(spark, sf_dir):
 
 
 def _videos(spark, sf_dir) -> DataFrame:
-    """Each error event is a recording, named by its time where the id is even."""
-    e = events(spark, sf_dir).where("event_type = 'error'")
+    """Each event is a recording, named by its time where the id is even."""
+    e = events(spark, sf_dir)
     name = F.date_format(F.timestamp_micros(F.col("t") + 3 * 3600 * US), "yyyy_MMdd_HHmmss")
     return e.select("event_id", "t", F.concat(F.lit("/cam/"), F.when(F.col("event_id") % 2 == 0, name).otherwise(F.lit("clip")), F.lit("_"), F.col("event_id").cast("string"), F.lit(".MP4")).alias("video"))
 
@@ -252,11 +258,11 @@ def c_resolve_start(spark, sf_dir):
 
 
 def c_choose_log(spark, sf_dir):
-    """Logs are the days with sign-ups, recordings the error events."""
+    """A user's first to last sign-up is a log, each event a recording."""
     e = events(spark, sf_dir)
     days = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("t").alias("log_start_us"), F.max("t").alias("end_us"))
     index = days.select(F.col("user_id").alias("ord"), F.concat(F.lit("log"), "user_id").alias("log_file"), F.concat(F.lit("f"), "user_id").alias("folder"), "log_start_us", "end_us")
-    videos = e.where("event_type = 'error'").select(F.col("event_id").alias("video"), F.col("t").alias("start_us"), F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 1000).cast("double") * 60).alias("duration_sec"))
+    videos = e.select(F.col("event_id").alias("video"), F.col("t").alias("start_us"), F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 1000).cast("double") * 60).alias("duration_sec"))
     out = alignment.choose_logs(videos, index)
     return out.select("video", "log_file", "folder", r6("overlap_sec").alias("overlap_sec"))
 
@@ -348,14 +354,12 @@ KNOWN_H = (1.05, 0.02, 12.0, -0.03, 0.98, 7.5, 0.00002, -0.00001, 1.0)
 
 
 def _matches(spark, sf_dir) -> DataFrame:
-    """Matches per order of seven lines: exact ones, every sixth far off.
-
-    Not the whole job: as in the given SQL, only orders of remainder 1 and 2 by 40
-    enter (5 % of the lines); those of all other orders are never looked at."""
-    p = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("pair"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_extendedprice") % 800).alias("qx"), (F.col("l_partkey") * 7.0 % 600).alias("qy"))
+    """All lines as matches, a supplier's as one image pair (about 600 of them whatever
+    the scale): exact ones, every sixth far off."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pair"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_extendedprice") % 800).alias("qx"), (F.col("l_partkey") * 7.0 % 600).alias("qy"))
     rx, ry = geo.project(F.array(*map(F.lit, KNOWN_H)), F.col("qx"), F.col("qy"))
     off = F.when((F.col("k") + F.col("n")) % 6 == 0, F.lit(150.0) + F.col("k") % 97).otherwise(0.0)
-    return p.where("k % 40 = 1 or k % 40 = 2").select("pair", "k", "n", "qx", "qy", (rx + off).alias("rx"), (ry - off).alias("ry"), (0.2 + F.col("n") * 0.1).alias("conf"))
+    return p.select("pair", "k", "n", "qx", "qy", (rx + off).alias("rx"), (ry - off).alias("ry"), (0.2 + F.col("n") * 0.1).alias("conf"))
 
 
 def g_homography_recover(spark, sf_dir):
@@ -485,7 +489,9 @@ def g_global_track(spark, sf_dir):
 def g_result_rows(spark, sf_dir):
     frames, candidates, _ = _track_inputs(spark, sf_dir)
     out = localize.localize_global(frames, candidates, LocalizeConfig())
-    return out.select("video", "frame_index", F.bround("video_time_sec", 3).alias("VideoTimeSec"), F.when(F.col("map_center_x_px").isNotNull(), F.format_string("%.2f", "map_center_x_px")).otherwise("").alias("MapCenterXPx"), "match_count")
+    named = {"frame_index": "FrameIndex", "video_time_sec": "VideoTimeSec", "status": "Status", "search_mode": "SearchMode", "latitude": "Latitude", "longitude": "Longitude", "map_center_x_px": "MapCenterXPx", "map_center_y_px": "MapCenterYPx", "score": "Score", "tile_id": "TileId"}
+    named |= {"match_count": "MatchCount", "inlier_count": "InlierCount", "inlier_ratio": "InlierRatio", "mean_match_confidence": "MeanMatchConfidence", "reprojection_error_px": "ReprojectionErrorPx"}
+    return result_text(out.withColumnsRenamed(named))
 
 
 # --- H, I: summaries and the live plan ---------------------------------------
@@ -536,16 +542,17 @@ def i_letterbox(spark, sf_dir):
 
 
 def i_telemetry_prior(spark, sf_dir):
-    """Positions within the map's own reach, put back on it."""
+    """Every event is a frame between the views, clicks and purchases of its user; the
+    map is in degrees, so that positions between points can be told in SQL."""
     e = events(spark, sf_dir).withColumns({"flight": F.col("user_id"), "line_no": F.col("event_id"), "px": F.pmod(F.col("value") * 10, F.lit(1600.0)), "py": F.pmod(F.col("value") * 3, F.lit(1200.0))})
-    lat, lon = GRID.pixel_to_latlon(F.col("px"), F.col("py"))
-    e = e.withColumns({"latitude": lat, "longitude": lon, "none": F.lit(None).cast("double")})
+    lat, lon = DEGREES.pixel_to_latlon(F.col("px"), F.col("py"))
+    e = e.withColumns({"latitude": lat, "longitude": lon})
     none = F.lit(None).cast("double")
     ahr = e.where("event_type = 'view'").select("flight", "line_no", "t", "latitude", "longitude", *[none.alias(c) for c in ("altitude_m", "yaw_deg", "roll_deg", "pitch_deg")])
     gps = e.where("event_type = 'click'").select("flight", "line_no", "t", "latitude", "longitude", *[none.alias(c) for c in ("altitude_m", "gps_speed_mps", "gps_course_deg")])
     imu = e.where("event_type = 'purchase'").select("flight", "line_no", "t", F.col("value").alias("imu_gyro_magnitude"))
-    frames = e.where("event_type = 'view'").select("event_id", "flight", "t")
-    return live.telemetry_priors(frames, (ahr, gps, imu), GRID).select("event_id", F.round("prior_x", 3).alias("prior_x"), F.round("prior_y", 3).alias("prior_y"))
+    frames = e.select("event_id", "flight", "t")
+    return live.telemetry_priors(frames, (ahr, gps, imu), DEGREES).select("event_id", F.round("prior_x", 3).alias("prior_x"), F.round("prior_y", 3).alias("prior_y"))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name[1:2] == "_" and name[0] in "abcdefghi" and callable(f)}
