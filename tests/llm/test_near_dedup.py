@@ -105,3 +105,58 @@ def test_components_of_chains_and_stars(spark):
     want = {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)} | {150: 150, 200: 150}
     assert got == want
     assert components(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_an_id_with_several_texts_loses_no_link(spark):
+    a = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(a)), (1, "quite another text of its own here"), (7, " ".join(a)), (9, " ".join([*a[:-1], "x"])), (12, "quite another text of its own here"), (11, "alone")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_groups(docs, NearDupConfig(3, 85)).collect()}
+    assert got == {(1, 1, True), (7, 1, False), (9, 1, False), (12, 1, False), (11, 11, True)}
+
+
+def test_repeated_ids_with_a_shared_least_id(spark):
+    """Every text stands for a class whose least id is 3; no id links them but 3."""
+    rows = [(3, f"text {t} " + " ".join(f"{t}w{k}" for k in range(40))) for t in range(5)] + [(20 + t, f"text {t} " + " ".join(f"{t}w{k}" for k in range(39)) + " end") for t in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string"), NearDupConfig(3, 85)).collect()}
+    assert got == {3: 3} | {20 + t: 3 for t in range(5)}
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_one_bucket_of_many_texts_gives_fewer_links_than_members(spark, block, monkeypatch):
+    """All pairs of a group are near the threshold, and they share most bands."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for k in rng.sample(range(400), 7):
+            text[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    given, real = [], minhash_dedup._settle
+
+    def settle(rows, config):
+        links = real(rows, config)
+        given.append((links.count(), rows.count()))
+        return links
+
+    monkeypatch.setattr(minhash_dedup, "_settle", settle)
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string"), NearDupConfig(3, 85)).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 3, 85).items()}
+    assert all(links < members for links, members in given)
+
+
+def test_blocks_hold_each_pair_of_two_components_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    rows = [(5, k, 0 if k < 40 else 100 + k % 7, 10) for k in range(60)] + [(6, k, k % 2, 10) for k in range(4)]
+    dealt = minhash_dedup._blocks(spark.createDataFrame(rows, "bucket long, member long, component long, n_shingles long")).collect()
+    met: dict[tuple, int] = {}
+    for one in dealt:
+        for two in dealt:
+            if (one["bucket"], one["x"], one["y"]) == (two["bucket"], two["x"], two["y"]) and one["side"] == one["x"] and two["side"] == two["y"] and one["component"] != two["component"]:
+                pair = (one["bucket"], *sorted((one["member"], two["member"])))
+                if one["x"] != one["y"] or one["member"] < two["member"]:
+                    met[pair] = met.get(pair, 0) + 1
+    want = {(b, i, j) for b, i, c, _ in rows for b2, j, d, _ in rows if b == b2 and i < j and c != d}
+    assert set(met) == want and set(met.values()) == {1}
+    assert len([r for r in dealt if r["bucket"] == 5 and r["component"] == 0]) <= 40 * 4
