@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .token_fst import transducer
+from .tokens import library
 from .worker import bound_batches
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -132,6 +133,7 @@ def pack(
     text_col: str = "text",
     with_ids: bool = True,
     max_states: int | None = None,
+    compiled: bool = True,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, ids`` (little-endian uint32; null unless ``with_ids``).
@@ -139,14 +141,17 @@ def pack(
     A null or empty text is its end id alone.  Repeated rows are packed each; a
     null id stays null.  An empty table gives no pieces.  A sequence's number is
     the partition's in the upper bits and a counter in the lower 40, so a task
-    that is run again gives the same.  ``max_states`` bounds the transducer's memory
-    (about 0.8 KB a state); fewer states only cost time.
+    that is run again gives the same.  Ids are made by the compiled transducer, whose
+    memory ``max_states`` bounds (about 0.8 KB a state; fewer only cost time), or,
+    unless ``compiled``, by the tokenizer library, which needs less memory.  The ids
+    are the same.
     """
 
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, encoder = SumOfSquaresPacker(size, max_open), transducer(tokenizer_file, False, max_states)
+        packer = SumOfSquaresPacker(size, max_open)
+        encoder = transducer(tokenizer_file, False, max_states) if compiled else library(tokenizer_file)
         end = np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 40
 

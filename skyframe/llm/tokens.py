@@ -7,6 +7,7 @@ library's own ids.
 
 from __future__ import annotations
 
+import os
 from array import array
 
 import numpy as np
@@ -113,5 +114,24 @@ def _joined(units: _Units, cut: list[list], as_text) -> list[bytes]:
     return out
 
 
+class LibraryIds:
+    """The library alone, text by text: slower than a compiled or cached form, but
+    it holds nothing but the vocabulary."""
+
+    def __init__(self, file: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(file)
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([(t or "") for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+
+def library(file: str) -> LibraryIds:
+    return held(("library", file), lambda: LibraryIds(file))
+
+
 def word_level(file: str) -> WordIds:
     return held(("words", file), lambda: WordIds(file))
