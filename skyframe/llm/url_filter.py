@@ -150,10 +150,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], url_col: str = "url",
             best = np.where(fits.any(axis=1), fits.argmax(axis=1), len(ranked)) if len(ranked) else np.zeros(len(batch), int)
             yield pd.DataFrame({"rule": names[best], "verdict": verdicts[best]})
 
-    host, path = url_parts(F.col(url_col))
-    out = pages.withColumns({"host": host, "path": path})
-    judged = out.withColumn("_judged", judge(F.concat(F.lit("."), "host", "path")))
-    return judged.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    host, path = url_parts(F.col(f"`{url_col}`"))
+    parts = packed(pages, _host=host, _path=path)  # no column of the table can clash
+    judged = parts.withColumn("_judged", judge(F.concat(F.lit("."), "_host", "_path")))
+    kept = [F.col(f"_in.`{c}`").alias(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    return judged.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), "_judged.rule", "_judged.verdict")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[UrlRule], url_col: str = "url", default: str = "allow") -> DataFrame:

@@ -32,8 +32,11 @@ from pyspark.sql import functions as F
 from .store import Scratch
 from .worker import bound_batches
 
-#: Children of a node: 2**_FAN_BITS.  A file holds 2**_PLACE_BITS records at most.
+#: Children of a node: 2**_FAN_BITS.  A file holds 2**_PLACE_BITS records at most, a
+#: partition writes 2**_FILE_BITS files at most.
 _FAN_BITS, _PLACE_BITS, _FILE_BITS = 6, 18, 12
+#: Tasks that read files, at most; each reads its files one after the other.
+MAX_TASKS = 20_000
 _MANIFEST = "key long, file string, place long, page_id long, offset long, length long, sha256 binary"
 
 
@@ -78,7 +81,8 @@ def write_warc(pages: DataFrame, root: str, max_bytes: int = 32 << 20, max_recor
     executors share) as the returned manifest is read; write that down once.
 
     Columns: key, file, place, page_id, offset, length, sha256 (of the stored
-    bytes).  An empty table writes nothing.
+    bytes).  An empty table writes nothing; repeated rows and null ids are records
+    like others; a record is as long as its page, and one at least is put into a file.
     """
 
     bound_batches(pages.sparkSession)
@@ -90,6 +94,8 @@ def write_warc(pages: DataFrame, root: str, max_bytes: int = 32 << 20, max_recor
 
         def close() -> pa.RecordBatch:
             nonlocal number
+            if number >> _FILE_BITS:
+                raise ValueError(f"more than {1 << _FILE_BITS} files in one partition: read the pages in more partitions or write larger files")
             name, file = f"part-{part:06d}-{number:04d}.warc.gz", part << _FILE_BITS | number
             _put(fs, f"{base}/{name}", bytes(held))
             out = [[file << _PLACE_BITS | r[0] for r in rows], [name] * len(rows), *map(list, zip(*rows))]
@@ -113,10 +119,10 @@ def write_warc(pages: DataFrame, root: str, max_bytes: int = 32 << 20, max_recor
 
 
 def _by_file(manifest: DataFrame) -> DataFrame:
-    """A file's rows in order in one task; as many tasks as files, since rows are tiny
-    but what they point at is not."""
+    """A file's rows in order in one task; as many tasks as files (up to MAX_TASKS), since
+    rows are tiny but what they point at is not."""
     files = manifest.select("file").distinct().count()
-    return manifest.repartition(max(1, files), "file").sortWithinPartitions("file", "place")
+    return manifest.repartition(min(max(1, files), MAX_TASKS), "file").sortWithinPartitions("file", "place")
 
 
 class _Ranges:
