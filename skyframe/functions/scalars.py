@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +25,12 @@ _FLOAT = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?
 _SPECIAL = r"(?i)^[+-]?(nan|inf|infinity)$"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed, and planned, once: an expression that
+    names its input many times would else hold as many copies of it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, of whatever kind; most texts begin and end
     with a printable ASCII character and are left alone at once."""
@@ -34,18 +41,18 @@ def strip(text: Column) -> Column:
 def parse_float(text: Column) -> Column:
     """The number that the stripped text spells, else null.  Spellings such as
     ``1d`` that only the JVM knows are no numbers; ``1_0`` is 10."""
-    t = strip(text.cast("string"))
-    special = F.lower(F.regexp_replace(t, r"^\+", ""))
-    return (
-        F.when(t.rlike(_FLOAT), F.regexp_replace(t, "_", "").try_cast("double"))
-        .when(t.rlike(_SPECIAL), F.when(special.endswith("nan"), F.lit(float("nan"))).when(special.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-    )
+
+    def number(t: Column) -> Column:
+        special = F.lower(F.regexp_replace(t, r"^\+", ""))
+        odd = F.when(special.endswith("nan"), F.lit(float("nan"))).when(special.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+        return F.when(t.rlike(_FLOAT), F.regexp_replace(t, "_", "").try_cast("double")).when(t.rlike(_SPECIAL), odd)
+
+    return bound(bound(text.cast("string"), strip), number)
 
 
 def parse_time_us(text: Column) -> Column:
     """The number truncated toward zero, else null."""
-    value = parse_float(text)
-    return F.when(~F.isnan(value), value.try_cast("bigint"))
+    return bound(parse_float(text), lambda v: F.when(~F.isnan(v), v.try_cast("bigint")))
 
 
 def gps_to_utc_us(week: Column, ms: Column) -> Column:
@@ -63,7 +70,11 @@ def parse_dt_us(text: Column) -> Column:
     """Micros of ``yyyy-MM-dd HH:mm:ss[.ffffff]`` or an ISO-8601 date (time optional),
     else null.  Text without a zone is UTC; a zone in the text is dropped, not
     applied, as naive times are compared throughout."""
-    t = strip(text.cast("string"))
+    return bound(bound(text.cast("string"), strip), _dt_us)
+
+
+def _dt_us(t: Column) -> Column:
+    """Micros of a stripped text."""
     iso = r"^(\d{4})-(\d{2})-(\d{2})(?:.(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
     compact = r"^(\d{4})(\d{2})(\d{2})$"
     loose = r"^(\d{4})-(\d{1,2})-(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\.(\d{1,6}))?$"

@@ -69,6 +69,13 @@ def choose_logs(videos: DataFrame, logs: DataFrame, few_logs: int = FEW_LOGS) ->
     return pairs.groupBy("video").agg(chosen.alias("c")).select("video", "c.*")
 
 
+def require_logs(logs: DataFrame) -> DataFrame:
+    """``logs``; raises LookupError where there is none to choose from."""
+    if not logs.take(1):
+        raise LookupError("no log with a folder, a start and an end")
+    return logs
+
+
 def _choose_in_memory(asked: DataFrame, logs: DataFrame) -> DataFrame:
     """The logs' times go along with the code, in the order that settles ties; names
     are joined afterwards.  A repeated video is asked once."""

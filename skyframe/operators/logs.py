@@ -121,8 +121,7 @@ def exact_utc_us() -> Column:
 
 
 def _value(name: str) -> Column:
-    place = F.array_position("columns", name)
-    return F.when(place > 0, F.get("values", (place - 1).cast("int")))
+    return F.get("values", (F.nullif(F.array_position("columns", name), F.lit(0).cast("bigint")) - 1).cast("int"))
 
 
 def enrich(recs: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -230,10 +230,11 @@ def reprojection_errors(points: DataFrame, group: list[str], h: str = "homograph
 def sample_lines(matches: DataFrame, group: list[str], order: str, limit: int = 80) -> DataFrame:
     """The match lines to be shown per group: inliers (all matches if none are), and
     of more than ``limit`` every n-th, at most ``limit``."""
-    whole = Window.partitionBy(*group)
-    has = F.max(F.col("inlier").cast("int")).over(whole)
-    shown = matches.withColumn("_has", has).where((F.col("_has") == 0) | F.col("inlier"))
-    placed = shown.withColumns({"_n": F.count("*").over(whole), "_k": F.row_number().over(whole.orderBy(order)) - 1})
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / limit)).cast("bigint")
-    chosen = (F.col("_n") <= limit) | ((F.col("_k") % step == 0) & (F.col("_k") / step < limit))
-    return placed.where(chosen).drop("_has", "_n", "_k")
+    columns = matches.columns
+    rows = matches.select(*[F.col(c).alias(f"g{k}") for k, c in enumerate(group)], F.col(order).alias("o"), F.col("inlier").alias("i"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    whole = Window.partitionBy(*[f"g{k}" for k in range(len(group))])
+    shown = rows.withColumn("has", F.max(F.col("i").cast("int")).over(whole)).where((F.col("has") == 0) | F.col("i"))
+    placed = shown.withColumns({"n": F.count("*").over(whole), "k": F.row_number().over(whole.orderBy("o")) - 1})
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / limit)).cast("bigint")
+    chosen = (F.col("n") <= limit) | ((F.col("k") % step == 0) & (F.col("k") / step < limit))
+    return placed.where(chosen).select(*[F.col(f"row.`{c}`").alias(c) for c in columns])

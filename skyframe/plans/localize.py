@@ -116,6 +116,9 @@ class Tracker:
         return best
 
 
+#: Tiles that every task of :func:`localize` may hold (24 bytes each).
+MAX_TILES = 1_000_000
+
 _FRAME = ("video", "frame_index", "sampled_index", "video_time_sec", "prior_x", "prior_y")
 _CANDIDATE = ("tile_ord", "tile_id", "latitude", "longitude", "map_center_x_px", "map_center_y_px", "score", "match_count", "inlier_count", "inlier_ratio", "mean_confidence", "reprojection_error")
 
@@ -133,7 +136,10 @@ def localize(frames: DataFrame, candidates: DataFrame, tiles: DataFrame, config:
     """One result row per frame of each recording.
 
     Frames of a recording are sorted into one task and folded as a stream, so only
-    one frame is held at a time; recordings are spread over tasks."""
+    one frame is held at a time; recordings are spread over tasks.  Every task holds
+    the tile index, of ``MAX_TILES`` at most; raises ValueError beyond."""
+    if tiles.count() > MAX_TILES:
+        raise ValueError(f"more than {MAX_TILES} tiles: use localize_global, which keeps none of them")
     index = sorted((r["tile_ord"], float(r["center_x_px"]), float(r["center_y_px"])) for r in tiles.select("tile_ord", "center_x_px", "center_y_px").collect())
     tracker = Tracker(index, config)
 

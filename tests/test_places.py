@@ -350,3 +350,11 @@ def test_frame_sampling(spark):
     got = [r["frame_index"] for r in localize.sample_frames(frames, LocalizeConfig(frame_step_seconds=1.0, video_start_seconds=0.15)).orderBy("frame_index").collect()]
     assert got == [4, 34, 64, 94]
     assert localize.sample_frames(frames, LocalizeConfig(max_frames=2)).count() == 2
+
+
+def test_no_log_is_an_error(spark):
+    empty = spark.createDataFrame([], "ord long, log_file string, folder string, log_start_us long, end_us long")
+    with pytest.raises(LookupError):
+        alignment.require_logs(empty)
+    videos = spark.createDataFrame([("v", 5, 1.0)], "video string, start_us long, duration_sec double")
+    assert alignment.choose_logs(videos, empty).count() == alignment.choose_logs(videos, empty, -1).count() == 0

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from bisect import bisect_left
 
 import pytest
@@ -93,3 +94,28 @@ def test_a_hot_series_is_spread(spark):
     q = spark.range(500).select(F.lit("one").alias("key"), (F.col("id") * 97 + 3).alias("t"))
     got = timeseries.interpolate(p, q, "key", "t", ["v"], bucket_us=1000)
     assert all(math.isclose(r["v"], min(r["t"] / 10, 4999), abs_tol=1e-9) for r in got.collect())
+
+
+def test_work_in_one_bucket_is_in_proportion(spark):
+    """All points and probes in one bucket: quadratic windows would take minutes."""
+    n = 60_000
+    p = spark.range(n).select(F.lit("one").alias("key"), (F.col("id") * 10).alias("t"), F.col("id").cast("double").alias("v"))
+    q = spark.range(n).select(F.lit("one").alias("key"), (F.col("id") * 10 + 5).alias("t"))
+    began = time.perf_counter()
+    got = timeseries.interpolate(p, q, "key", "t", ["v"]).agg(F.count("*").alias("n"), F.sum("v").alias("s")).first()
+    assert time.perf_counter() - began < 60
+    assert got["n"] == n and math.isclose(got["s"], sum(min(k + 0.5, n - 1) for k in range(n)))
+
+
+def test_ties_and_missing_keys_and_times(spark):
+    points = spark.createDataFrame([("a", 5, 1, 10.0), ("a", 5, 2, 20.0), ("a", 9, 3, 30.0), ("a", 9, 4, 40.0), (None, 5, 5, 1.0), ("a", None, 6, 2.0)], "key string, t long, o long, v double")
+    probes = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (3, "a", 9), (4, "a", 10), (5, "a", None), (6, None, 5), (7, "z", 5), (2, "a", 6)], "n int, key string, t long")
+    got = sorted((r["n"], r["lo"] and r["lo"]["v"], r["hi"] and r["hi"]["v"]) for r in timeseries.bracket(points, probes, "key", "t", ["v"], "o", bucket_us=4).collect())
+    assert got == [(1, None, 10.0), (2, 20.0, 30.0), (2, 20.0, 30.0), (3, 20.0, 40.0), (4, 40.0, None), (5, None, None), (6, None, None), (7, None, None)]
+
+
+def test_columns_of_the_rows_may_have_any_name(spark):
+    fixes = spark.createDataFrame([("a", 0, 0), ("a", 10, 10_000_000)], "log string, x long, utc_us long")
+    rows = spark.createDataFrame([("a", 5, "h", "t", "o", "r")], "log string, x long, head string, tail string, _owner string, _row string")
+    row = timeseries.time_base(fixes, rows, "log", "x").first()
+    assert (row["utc_us"], row["head"], row["tail"], row["_owner"], row["_row"]) == (5_000_000, "h", "t", "o", "r")
