@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import GeoRaster, near_tile, project_frame
-from ..operators.matching import acceptable, candidate_score, inlier_ratio
+from ..operators.features import FeatureTable, match_feature_sets
+from ..operators.matching import acceptable, candidate_score, extract_features, homographies, inlier_ratio
 from .config import LocalizeConfig
+from .progress import Progress, told
 
 
 def sample_frames(frames: DataFrame, config: LocalizeConfig, fps: Column | None = None) -> DataFrame:
@@ -50,6 +52,27 @@ def score_candidates(fits: DataFrame, config: LocalizeConfig, raster: GeoRaster)
     return scored.drop("_cx", "_cy")
 
 
+def find_candidates(frames: DataFrame, tiles: DataFrame, tile_images: DataFrame, cache: FeatureTable, config: LocalizeConfig, raster: GeoRaster, progress: Progress | None = None) -> DataFrame:
+    """Candidates of frames (``video, frame_index, width, height, pixels``) on all tiles
+    of the index.  The tiles' features come from ``cache``, which makes those that it
+    lacks from ``tile_images`` (``tile_ord, width, height, pixels``); a frame's are
+    made once, whatever the number of tiles."""
+    told(progress, "query_features_start")
+    key = ["video", "frame_index"]
+    features = extract_features(frames.withColumn("_frame", F.struct(*key)), config.matcher, "_frame").select("_frame.*", "features")
+    told(progress, "query_features_ready")
+    references = cache.of(tile_images)
+    told(progress, "match_features")
+    # every frame looks at every tile: the index is small and checked, and the result is what is asked for
+    index = tiles.select("tile_ord", "tile_id", "tile_size_px", "map_x0_px", "map_y0_px")
+    numbers = index.agg(F.collect_set("tile_ord").alias("_tiles"))
+    pairs = features.select(*key).join(F.broadcast(numbers), F.lit(True)).select(*key, F.explode("_tiles").alias("tile_ord"))  # one row
+    matches = match_feature_sets(pairs, features, references, config.matcher, key, ["tile_ord"])
+    told(progress, "estimate_homography")
+    fits = homographies(matches, [*key, "tile_ord"]).join(frames.select(*key, "width", "height"), key).join(index, "tile_ord")
+    return score_candidates(fits, config, raster).select(*key, *_CANDIDATE)
+
+
 def search_mode(sampled_index: Column, has_last: Column, has_prior: Column, every: int) -> Column:
     """The mode a frame starts in, once the state is known."""
     due = ~has_last | (sampled_index == 0) | (sampled_index % every == 0)
@@ -63,6 +86,12 @@ class TrackState:
     x: float | None = None
     y: float | None = None
 
+    @classmethod
+    def before(cls, frame: dict) -> TrackState:
+        """What a recording's first frame says about the time before it."""
+        x, y = frame.get("state_x"), frame.get("state_y")
+        return cls(x, y) if x is not None and x == x else cls()
+
 
 #: Output columns of the fold.
 RESULT_SCHEMA = (
@@ -127,7 +156,8 @@ def frames_with_candidates(frames: DataFrame, candidates: DataFrame) -> DataFram
     """One row per frame with its accepted candidates in tile order (at most one per
     tile of the index)."""
     prior = [F.col(c).cast("double").alias(c) if c in frames.columns else F.lit(None).cast("double").alias(c) for c in ("prior_x", "prior_y")]
-    base = frames.select("video", "frame_index", "sampled_index", "video_time_sec", *prior)
+    held = [F.col(c).cast("double").alias(c) for c in ("state_x", "state_y") if c in frames.columns]
+    base = frames.select("video", "frame_index", "sampled_index", "video_time_sec", *prior, *held)
     listed = candidates.groupBy("video", "frame_index").agg(F.sort_array(F.collect_list(F.struct(*_CANDIDATE))).alias("candidates"))
     return base.join(listed, ["video", "frame_index"], "left")
 
@@ -137,7 +167,8 @@ def localize(frames: DataFrame, candidates: DataFrame, tiles: DataFrame, config:
 
     Frames of a recording are sorted into one task and folded as a stream, so only
     one frame is held at a time; recordings are spread over tasks.  Every task holds
-    the tile index, of ``MAX_TILES`` at most; raises ValueError beyond."""
+    the tile index, of ``MAX_TILES`` at most; raises ValueError beyond.  Frames may
+    carry ``state_x, state_y``: the last place found before their recording's first."""
     if tiles.count() > MAX_TILES:
         raise ValueError(f"more than {MAX_TILES} tiles: use localize_global, which keeps none of them")
     index = sorted((r["tile_ord"], float(r["center_x_px"]), float(r["center_y_px"])) for r in tiles.select("tile_ord", "center_x_px", "center_y_px").collect())
@@ -150,7 +181,7 @@ def localize(frames: DataFrame, candidates: DataFrame, tiles: DataFrame, config:
             rows = []
             for frame in batch.to_dict("records"):
                 if frame["video"] != video:
-                    video, state = frame["video"], TrackState()
+                    video, state = frame["video"], TrackState.before(frame)
                 found = frame.pop("candidates")
                 rows.append(tracker.step(state, frame, [] if found is None else list(found)))
             yield pd.DataFrame(rows, columns=columns)

@@ -66,3 +66,9 @@ def read_images(spark: SparkSession, folder: str, decode: Callable[[bytes], tupl
 def first_video(names: list[str], fallback: str) -> str:
     """The first ``.mp4`` by name, whatever its case, else a fixed name."""
     return min((n for n in names if n.lower().endswith(".mp4")), default=fallback)
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    """Delete a folder of any file system that Spark reaches, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

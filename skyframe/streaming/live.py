@@ -3,18 +3,22 @@ tracking, and an append sink without repeats."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.geo import GeoRaster
 from ..operators.timeseries import fuse_navigation
-from ..plans.config import LocalizeConfig
-from ..plans.localize import RESULT_SCHEMA, Tracker, TrackState
+from ..plans.config import LiveConfig, LocalizeConfig
+from ..plans.localize import RESULT_SCHEMA, Tracker, TrackState, localize
+from ..plans.progress import Progress, told
+from ..sources.results import remove
 
 
 def frame_times(frames: DataFrame, fps: Column) -> DataFrame:
@@ -94,12 +98,122 @@ def track_stream(frames: DataFrame, tiles: list[tuple[int, float, float]], confi
     return frames.groupBy("video").applyInPandasWithState(update, RESULT_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def append_results(stream: DataFrame, target: str, checkpoint: str, conflate: bool = True) -> StreamingQuery:
-    """Start appending ``stream`` to a Parquet folder: of each batch the newest frame
-    per recording (or all), a batch that is replayed only once."""
+def append_results(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Start appending results to a Parquet folder, a batch that is replayed only once."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = latest_wins(batch) if conflate else batch.dropDuplicates(["video", "frame_index"])
-        rows.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        batch.dropDuplicates(["video", "frame_index"]).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+# --- the whole plan ----------------------------------------------------------
+
+
+def conflated(submissions: DataFrame, slot: str = "slot") -> DataFrame:
+    """What a matcher that is busy during each slot gets to see: of a recording's
+    submissions (``video, frame_index``) in one slot the newest.  Its
+    ``sampled_index`` counts all submissions before it, those overwritten included."""
+    rest = [c for c in submissions.columns if c not in ("video", slot)]
+    newest = submissions.groupBy("video", slot).agg(F.max_by(F.struct(*rest), "frame_index").alias("_t"), F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy("video").orderBy(slot).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return newest.select("video", slot, "_t.*", (so_far - 1).cast("bigint").alias("sampled_index"))
+
+
+@dataclass(frozen=True)
+class LivePlan:
+    """What the live plan works with.  ``candidates`` makes the accepted candidates of
+    some frames (as :func:`..plans.localize.find_candidates` does); ``progress`` is
+    told the stages."""
+
+    navigation: tuple[DataFrame, DataFrame, DataFrame]
+    raster: GeoRaster
+    tiles: DataFrame
+    candidates: Callable[[DataFrame], DataFrame]
+    config: LiveConfig = LiveConfig()
+    interval: int = 0
+    start_frame: int = 0
+    progress: Progress | None = None
+
+
+#: Between batches, one row per recording: submissions so far, the last place found,
+#: and the last frame whose result was given out.
+STATE = "video string, submitted long, state_x double, state_y double, shown long"
+
+
+def live_step(frames: DataFrame, state: DataFrame, plan: LivePlan) -> tuple[DataFrame, DataFrame]:
+    """One batch: (results to give out, state after it).
+
+    ``frames`` (``video, flight, frame_index, start_us, fps`` and what ``candidates``
+    needs) that wait together are conflated before the matcher, so a frame that is
+    overwritten never moves the track.  A result whose frame was the last one given
+    out is not given out again."""
+    waiting = submitted(frame_times(frames, F.col("fps")), plan.interval, plan.start_frame)
+    newest = conflated(waiting.withColumn("slot", F.lit(0)))
+    known = newest.drop("slot").join(state, "video", "left")
+    known = known.withColumn("sampled_index", F.col("sampled_index") + F.coalesce("submitted", F.lit(0)))
+    light = known.select("video", "flight", "frame_index", "t", "video_time_sec", "sampled_index", "state_x", "state_y")  # without pixels
+    task = telemetry_priors(light, plan.navigation, plan.raster)
+    found = localize(task, plan.candidates(known), plan.tiles, plan.config)
+    before = known.select("video", "shown", "sampled_index", "state_x", "state_y")
+    out = found.join(before, "video").withColumn("_again", F.col("frame_index").eqNullSafe(F.col("shown")))
+    hit = F.col("status") == "localized"
+    moved = out.select(
+        "video",
+        (F.col("sampled_index") + 1).cast("bigint").alias("submitted"),
+        F.when(hit, F.col("map_center_x_px")).otherwise(F.col("state_x")).alias("state_x"),
+        F.when(hit, F.col("map_center_y_px")).otherwise(F.col("state_y")).alias("state_y"),
+        F.col("frame_index").alias("shown"),
+    )
+    results = out.where(~F.col("_again")).select(*found.columns)
+    return results, moved.unionByName(state.join(moved.select("video"), "video", "left_anti"))
+
+
+def run_live(frames: DataFrame, plan: LivePlan, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start the live plan on a stream of frames: results go to ``target/results`` and
+    the state to ``target/state``, one folder per batch, so that a batch which is
+    replayed after a failure writes the same again.  A run with a new checkpoint
+    deletes what an earlier one left in these two folders.  ``trigger`` as for a
+    stream writer; all that is available by default."""
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        state = spark.createDataFrame([], STATE) if epoch == 0 else spark.read.schema(STATE).parquet(f"{target}/state/epoch={epoch - 1}")
+        if epoch == 0:
+            for folder in ("results", "state"):
+                remove(spark, f"{target}/{folder}")
+        results, after = live_step(batch, state, plan)
+        both = results.select(F.lit(True).alias("_result"), F.struct(*results.columns).alias("r"), F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ':') for c in STATE.split(', '))}>").alias("s"))
+        kept = after.select(F.lit(False).alias("_result"), F.lit(None).cast(results.select(F.struct(*results.columns)).schema[0].dataType).alias("r"), F.struct(*after.columns).alias("s"))
+        work = f"{target}/state/work={epoch}"
+        both.unionByName(kept).write.mode("overwrite").parquet(work)  # matched once for both tables
+        done = spark.read.parquet(work)
+        done.where("NOT _result").select("s.*").write.mode("overwrite").parquet(f"{target}/state/epoch={epoch}")
+        done.where("_result").select("r.*").write.mode("overwrite").parquet(f"{target}/results/epoch={epoch}")
+        remove(spark, work)
+        remove(spark, f"{target}/state/epoch={epoch - 2}")
+        told(plan.progress, "idle")
+
+    writer = frames.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_results(spark: SparkSession, target: str) -> DataFrame:
+    """All results of :func:`run_live` so far."""
+    return spark.read.schema(RESULT_SCHEMA).parquet(f"{target}/results/*")
+
+
+def await_first_result(query: StreamingQuery, seconds: float = LiveConfig.first_match_timeout_sec, pause: float = 0.02) -> bool:
+    """Wait without a display: until the first batch with frames is done (True), the
+    query has ended (True if it had any), or the time is over (False).  An error of
+    the query is raised."""
+    until = time.monotonic() + seconds
+    while True:
+        ended = not query.isActive
+        if (error := query.exception()) is not None:
+            raise error
+        if any(p.numInputRows for p in query.recentProgress):
+            return True
+        if ended or time.monotonic() >= until:
+            return False
+        time.sleep(pause)

@@ -285,7 +285,7 @@ def test_stream_equals_batch(spark, tmp_path):
         prepared.where(F.floor(F.col("sampled_index") / 10) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={part}"))
     stream = spark.readStream.schema(prepared.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in/*"))
     tracked = live.track_stream(stream, held, LocalizeConfig())
-    query = live.append_results(tracked, str(tmp_path / "out"), str(tmp_path / "ck"), conflate=False)
+    query = live.append_results(tracked, str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(180)
     assert query.exception() is None
     assert shown(spark.read.parquet(str(tmp_path / "out"))) == shown(batch)
