@@ -307,10 +307,18 @@ WITH {_TRACK} SELECT frame_index::VARCHAR AS "FrameIndex", round_even(frame_inde
   CASE WHEN score IS NULL THEN '' ELSE '39.80000000' END AS "Latitude", CASE WHEN score IS NULL THEN '' ELSE '32.30000000' END AS "Longitude", coalesce(printf('%.2f', shown_x), '') AS "MapCenterXPx", coalesce(printf('%.2f', shown_y), '') AS "MapCenterYPx",
   coalesce(printf('%.4f', score), '') AS "Score", coalesce(tile_id, '') AS "TileId", CASE WHEN score IS NULL THEN '0' ELSE '25' END AS "MatchCount", CASE WHEN score IS NULL THEN '0' ELSE '13' END AS "InlierCount",
   CASE WHEN score IS NULL THEN '0.0000' ELSE '0.5200' END AS "InlierRatio", CASE WHEN score IS NULL THEN '0.0000' ELSE '0.2000' END AS "MeanMatchConfidence", CASE WHEN score IS NULL THEN '' ELSE '2.2000' END AS "ReprojectionErrorPx" FROM track""",
+    "g_map_center": """
+WITH c AS (SELECT l_orderkey AS frame_index, l_linenumber::BIGINT AS tile_ord, l_partkey % 100 + 319.5::DOUBLE AS cx, l_suppkey % 50 + 239.5::DOUBLE AS cy, l_suppkey % 1000 AS x0, l_partkey % 700 AS y0 FROM lineitem)
+SELECT frame_index, tile_ord, x0 + cx AS map_center_x_px, y0 + cy AS map_center_y_px, round(40 - 0.001::DOUBLE * (y0 + cy) / 0.5::DOUBLE, 6) AS latitude, round(30 + 0.001::DOUBLE * (x0 + cx) / 0.5::DOUBLE, 6) AS longitude,
+  round(1.5::DOUBLE * 13 + 30::DOUBLE * 13 / 25 + 10 * 0.2::DOUBLE - 0.75::DOUBLE * 2, 6) AS score
+FROM c WHERE cx BETWEEN -76.8 AND 588.8 AND cy BETWEEN -76.8 AND 588.8""",
     "h_run_summary": f"WITH {_TRACK} SELECT video, count(*) AS frames, count(score) AS localized, round(avg(score), 9) AS mean_score FROM track GROUP BY video",
     "i_submitted": f"WITH {_FRAMES} SELECT event_id, video, frame_index FROM frames WHERE frame_index % 5 = 0",
     "i_latest_wins": f"""
 WITH {_FRAMES} SELECT video || '/' || (t // 86400000000) AS slot, max(frame_index) AS frame_index, arg_max(event_id, frame_index) AS event_id FROM frames GROUP BY 1""",
+    "i_conflated": f"""
+WITH {_FRAMES}, s AS (SELECT video, t // 86400000000 AS slot, max(frame_index) AS frame_index, arg_max(event_id, frame_index) AS event_id, count(*) AS n FROM frames WHERE frame_index % 2 = 0 GROUP BY 1, 2)
+SELECT video, slot, frame_index, event_id, (sum(n) OVER (PARTITION BY video ORDER BY slot) - 1)::BIGINT AS sampled_index FROM s""",
     "i_emit_once": f"""
 WITH {_FRAMES}, s AS (SELECT video, event_id AS seq, frame_index // 3 AS shown FROM frames), l AS (SELECT *, lag(shown) OVER (PARTITION BY video ORDER BY seq) AS b FROM s)
 SELECT video, seq, shown FROM l WHERE shown IS DISTINCT FROM b""",

@@ -473,6 +473,16 @@ def _track_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return frames, c, index
 
 
+def g_map_center(spark, sf_dir):
+    """Line items as fits that pass all tests, on a map in degrees."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame_index"), F.col("l_linenumber").cast("bigint").alias("tile_ord"), "l_suppkey", "l_partkey")
+    shift = [F.lit(v) for v in (1.0, 0.0)] + [(F.col("l_partkey") % 100).cast("double")] + [F.lit(v) for v in (0.0, 1.0)] + [(F.col("l_suppkey") % 50).cast("double")] + [F.lit(v) for v in (0.0, 0.0, 1.0)]
+    fits = li.withColumns({"homography": F.array(*shift), "match_count": F.lit(25), "inlier_count": F.lit(13), "reprojection_error": F.lit(2.0), "mean_confidence": F.lit(0.2), "width": F.lit(640), "height": F.lit(480)})
+    fits = fits.withColumns({"tile_size_px": F.lit(512), "map_x0_px": F.col("l_suppkey") % 1000, "map_y0_px": F.col("l_partkey") % 700})
+    placed = localize.score_candidates(fits, LocalizeConfig(), DEGREES)
+    return placed.select("frame_index", "tile_ord", "map_center_x_px", "map_center_y_px", r6("latitude").alias("latitude"), r6("longitude").alias("longitude"), r6("score").alias("score"))
+
+
 _SHOWN = ("video", "frame_index", "status", "search_mode", "map_center_x_px", "map_center_y_px", "score", "tile_id")
 
 
@@ -513,6 +523,12 @@ def i_latest_wins(spark, sf_dir):
     return live.latest_wins(f.select("slot", "frame_index", "event_id"), "slot").select("slot", "frame_index", "event_id")
 
 
+def i_conflated(spark, sf_dir):
+    """What a matcher that is busy for a day at a time sees of each recording."""
+    f = live.submitted(_frames(spark, sf_dir), 2).withColumn("slot", F.floor(F.col("t") / (86_400 * US)))
+    return live.conflated(f.select("video", "slot", "frame_index", "event_id")).select("video", "slot", "frame_index", "event_id", "sampled_index")
+
+
 def i_emit_once(spark, sf_dir):
     f = _frames(spark, sf_dir).select("video", F.col("event_id").alias("seq"), F.floor(F.col("frame_index") / 3).alias("shown"))
     return live.emit_once(f, "video", "seq", "shown").select("video", "seq", "shown")
