@@ -18,9 +18,12 @@ compiled; past a bound the automaton starts anew.
 Texts are strung together and cut into chunks of one length, which advance in
 step, one table lookup per byte for thousands of chunks.  A chunk's state map is
 constant from its first word end on, whatever the state before; what stands
-before is unknown at first (the state UNKNOWN).  The maps are then composed in
-order: each head is run from the state that the chunk before ends in, all heads
-at once, in as many rounds as chunks without any word end follow each other.
+before is unknown at first (the state UNKNOWN).  A chunk that a word goes through
+has a map that depends on its entry: it is told for a few entries, first for the
+start state, then for whatever states the chunk before may end in.  These maps,
+with the counts that they add, are composed by a parallel prefix scan, in
+logarithmically many rounds; the bytes before each chunk's first word end are
+then run once more from the state that the scan puts before it.
 """
 
 from __future__ import annotations
@@ -44,6 +47,9 @@ MAX_STATES, MAX_ID_STATES = 120_000, 240_000
 #: Bytes of text that are counted at once, and chunks that advance in step.
 BATCH_BYTES, LANES = 1_000_000, 4096
 
+#: Entries that a chunk's map is told for on average, before only the true ones are.
+MAPS_PER_CHUNK = 16
+
 START, UNKNOWN = 0, 1
 _SHIFT = 1 << 14
 _GAP, _OTHER, _LETTER, _NUMBER = 0, 1, 2, 3
@@ -327,20 +333,79 @@ class BpeTransducer:
 
         advance(state, acc, inner, last, by_row(stop), told)
         head = np.where(closed, synced.argmax(axis=0) + 1, steps)
-        left = midway.copy()
-        while left.any():  # compose the maps: heads whose entry is known by now
-            ready = np.flatnonzero(left & ~np.concatenate([[False], (left & ~closed)[:-1]]))
-            left[ready] = False
-            entry, so_far = state[ready - 1].copy(), acc[ready - 1].copy()
+        entry, so_far = np.roll(state, 1), np.roll(acc, 1)  # what the chunk before ends in
+        through = midway & ~closed
+        if through.any():
+            self._scan(advance, inner, last, through, entry, so_far)
+        ready = np.flatnonzero(midway)
+        if len(ready):
             depth = int(head[ready].max())
             rows = np.arange(depth)[:, None] < head[ready]
             part = np.zeros((depth, len(ready)), np.int32)
-            advance(entry, so_far, np.where(rows, inner[:depth, ready], 0), last[:depth, ready], by_row(stop[:depth, ready] & rows), part)
+            advance(entry[ready], so_far[ready], np.where(rows, inner[:depth, ready], 0), last[:depth, ready], by_row(stop[:depth, ready] & rows), part)
             told[:depth, ready] = np.where(rows, part, told[:depth, ready])
-            open_ = ~closed[ready]  # only a chunk without a word end has another exit now
-            state[ready[open_]], acc[ready[open_]] = entry[open_], so_far[open_]
         return told.T.ravel()[: len(data)]
 
+    def _scan(self, advance, inner: np.ndarray, last: np.ndarray, through: np.ndarray, entry: np.ndarray, so_far: np.ndarray) -> None:
+        """Put into ``entry`` and ``so_far`` the state and count after each chunk that a
+        word goes ``through``, at the place of the chunk that follows."""
+        chunks = np.flatnonzero(through)
+        first = ~through[chunks - 1]  # of a run of such chunks; its entry is known
+        n_chunks, steps = len(chunks), len(inner)
+        number = [{int(entry[k]) if f else START: 0} for k, f in zip(chunks, first)]  # of each entry that a map is told for
+        exits: list[list[int]] = [[] for _ in chunks]
+        added: list[list[int]] = [[] for _ in chunks]
+        todo, spent = [(n, s) for n, known in enumerate(number) for s in known], 0
+
+        def lacking() -> list[tuple[int, int]]:
+            """Entries that maps are to be told for next: all exits of the chunk before or,
+            where chunks do not forget their entries, those on the true path alone."""
+            out = []
+            if spent <= MAPS_PER_CHUNK * n_chunks:
+                out = [(n, x) for n in range(1, n_chunks) if not first[n] for x in dict.fromkeys(exits[n - 1]) if x not in number[n]]
+            else:
+                for n in np.flatnonzero(first).tolist():
+                    at = 0
+                    while n + 1 < n_chunks and not first[n + 1]:
+                        x, n = exits[n][at], n + 1
+                        if x not in number[n]:
+                            out.append((n, x))
+                            break
+                        at = number[n][x]
+            for n, x in out:
+                number[n][x] = len(number[n])
+            return out
+
+        while todo:
+            spent += len(todo)
+            lanes = chunks[[n for n, _ in todo]]
+            state, count = np.array([s for _, s in todo], np.int64), np.zeros(len(todo), np.int64)
+            advance(state, count, inner[:, lanes], last[:, lanes], [lanes[:0]] * steps, np.zeros((steps, len(todo)), np.int32))
+            for (n, _), x, c in zip(todo, state.tolist(), count.tolist()):
+                exits[n].append(x)
+                added[n].append(c)
+            todo = lacking()
+        width = max(map(len, number))
+        to, add = np.zeros((n_chunks, width), np.int64), np.zeros((n_chunks, width), np.int64)
+        for n in range(n_chunks):
+            add[n, : len(added[n])] = added[n]
+            if n + 1 < n_chunks and not first[n + 1]:
+                to[n, : len(exits[n])] = [number[n + 1].get(x, 0) for x in exits[n]]
+        run, maps, sums, reach = np.cumsum(first), to.copy(), add.copy(), 1
+        while reach < n_chunks:  # the maps of 1, 2, 4, ... chunks up to each one
+            same = (run[reach:] == run[:-reach])[:, None]
+            more = sums[:-reach] + np.take_along_axis(sums[reach:], maps[:-reach], 1)
+            joined = np.take_along_axis(maps[reach:], maps[:-reach], 1)
+            sums[reach:] = np.where(same, more, sums[reach:])
+            maps[reach:] = np.where(same, joined, maps[reach:])
+            reach *= 2
+        before = np.where(first, 0, np.roll(maps[:, 0], 1))  # number of each chunk's true entry
+        base = so_far[chunks[first]][run - 1]
+        after = chunks + 1
+        there = after < len(entry)
+        entry[after[there]] = np.array([exits[n][at] for n, at in enumerate(before.tolist())], np.int64)[there]
+        so_far[after[there]] = (base + sums[:, 0])[there]
+
     def _tell_ids(self, state: np.ndarray, acc: np.ndarray, inner: np.ndarray, last: np.ndarray, ends: list[np.ndarray], out: np.ndarray) -> None:
         """As :meth:`_advance`; tells the state after each byte instead of counts and,
         where an end mark belongs to a word's last byte, -1 - the id of the last token."""

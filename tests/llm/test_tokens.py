@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow.fs as pafs
 import pytest
 
-from skyframe.llm import id_coder, packing
+from skyframe.llm import id_coder, packing, token_fst
 from skyframe.llm.store import Scratch
 from skyframe.llm.token_fst import BpeTransducer, token_counts, transducer
 from skyframe.llm.tokens import tokenizer_path, word_level
@@ -161,3 +161,20 @@ def test_id_files(spark, texts):
     assert all(f.path.endswith(".bin") for f in fs.get_file_info(pafs.FileSelector(base)))
     empty = scratch.save(id_coder.write_ids(docs.limit(0), scratch.path("g"), tokenizer_path(WORD)), "e")
     assert id_coder.read_ids(empty, scratch.path("g")).count() == 0
+
+
+@pytest.mark.parametrize("maps", [16, 0])  # 0: only true entries, as for chunks that never forget theirs
+def test_words_through_many_chunks(monkeypatch, maps):
+    monkeypatch.setattr(token_fst, "MAPS_PER_CHUNK", maps)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("aeinrstk", k=n))
+    texts = ["a" * 40_000, "the" * 12_000, letters(30_000), " ".join(letters(rng.choice([2, 70, 900, 4000])) for _ in range(60)), "szépvíz" * 5_000 + " ok", "-" * 9_000 + "=" * 9_000]
+    machine, want = BpeTransducer(tokenizer_path(WORD)), [len(i) for i in library_ids(WORD, texts)]
+    assert [machine.count([t])[0] for t in texts] == want and machine.count(texts) == want
+    machine = BpeTransducer(tokenizer_path(BYTE), counting=False)
+    assert machine.ids(texts) == [i.tobytes() for i in library_ids(BYTE, texts)]
+
+
+def test_a_million_letters_without_a_word_end():
+    text = "nevezetes" * 115_000
+    assert BpeTransducer(tokenizer_path(WORD)).count([text]) == [len(library_ids(WORD, [text])[0])]
