@@ -8,6 +8,7 @@ library's own ids.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -49,30 +50,32 @@ class _Units:
     def marks(self, token: str) -> bool:
         raise NotImplementedError
 
-    def plain(self, unit) -> bool:
+    def plain(self, unit) -> int:
+        """How many marked ids a unit of plain form has; 0 for others."""
         raise NotImplementedError
 
     def learn(self, units: set, as_text) -> None:
         if len(self.ids) > MAX_UNITS:
             self.ids, self.older = {}, self.ids
         ids, older = self.ids, self.older
-        plain, others = [], []
+        plain, words, others = [], [], []
         for u in [u for u in units if u not in ids]:
             if u in older:
                 ids[u] = older[u]
-            elif self.plain(u):
+            elif n := self.plain(u):
                 plain.append(u)
+                words.append(n)
             else:
                 others.append(u)
         encode = self.tokenizer.encode_batch_fast
         for at in range(0, len(plain), 5000):
             part = plain[at : at + 5000]
             found = np.array(encode([self.glue.join(map(as_text, part))], add_special_tokens=False)[0].ids, "<u4")
-            cuts = 4 * (np.flatnonzero(self.marked[found]) + self.ends_units)
-            bounds = [0, *cuts.tolist()] if self.ends_units else [*cuts.tolist(), 4 * len(found)]
-            if len(bounds) != len(part) + 1:
+            marks, upto = np.flatnonzero(self.marked[found]), np.cumsum(words[at : at + 5000])
+            if len(marks) != upto[-1]:
                 others += part
                 continue
+            bounds = [0, *(4 * marks[upto - 1] + 4).tolist()] if self.ends_units else [*(4 * marks[upto - words[at : at + 5000]]).tolist(), 4 * len(found)]
             raw = found.tobytes()
             ids.update(zip(part, [raw[i:j] for i, j in zip(bounds, bounds[1:])]))
         for at in range(0, len(others), 5000):
@@ -81,6 +84,11 @@ class _Units:
                 ids[u] = array("I", e.ids).tobytes()
 
 
+#: A word of Latin letters (U+0130 aside, whose lower case is no letter alone) with
+#: signs around it, without quotes, and none before it that may begin a special string.
+_PLAIN = re.compile(rb"""([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{}~]*)(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|\xC4[\x80-\xAF\xB1-\xBF]|[\xC5-\xC8][\x80-\xBF]|\xC9[\x80-\x8F])+([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)""")
+
+
 class WordIds(_Units):
     """For BPE on words, white space dropped: ASCII white space is never part of a
     token nor of any normal form, so texts are cut there."""
@@ -91,8 +99,9 @@ class WordIds(_Units):
     def marks(self, token: str) -> bool:
         return token.endswith("</w>")
 
-    def plain(self, unit: bytes) -> bool:
-        return unit.isalpha()  # ASCII letters: one word
+    def plain(self, unit: bytes) -> int:
+        found = _PLAIN.fullmatch(unit)  # signs, letters and signs are a word each
+        return 0 if found is None else 1 + (found.end(1) > 0) + (found.start(2) < len(unit))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
