@@ -156,7 +156,14 @@ def lerp(v0: Column, v1: Column, alpha: Column) -> Column:
     return F.coalesce(v0 + (v1 - v0) * alpha, v0, v1)
 
 
+def turned(angle: Column) -> Column:
+    """Degrees from 0 to below 360.  The turn is added and taken off again, so that
+    what lies below 360 by rounding alone is 0."""
+    return (angle % 360.0 + 360.0) % 360.0
+
+
 def lerp_angle(v0: Column, v1: Column, alpha: Column) -> Column:
-    """Degrees along the shorter arc, 0 to 360; opposite angles go backward."""
-    delta = F.pmod(v1 - v0 + 180.0, F.lit(360.0)) - 180.0
-    return F.coalesce(F.pmod(v0 + delta * alpha, F.lit(360.0)), v0, v1)
+    """Degrees along the shorter arc, 0 to 360; opposite angles go backward, those
+    that differ from 180 by rounding alone, too."""
+    delta = turned(v1 - v0 + 180.0) - 180.0
+    return F.coalesce(turned(v0 + delta * alpha), v0, v1)

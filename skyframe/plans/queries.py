@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.scalars import file_stamp_us, first_non_empty, gps_to_utc_us, is_plain_ascii, lerp_angle, parse_dt_us, parse_float, parse_time_us, sanitize_name, strip, utc_text
+from ..functions.scalars import file_stamp_us, first_non_empty, gps_to_utc_us, is_plain_ascii, lerp_angle, parse_dt_us, parse_float, parse_time_us, sanitize_name, strip, turned, utc_text
 from ..operators import alignment, logs, matching, tiles, timeseries
 from ..session import configure
 from ..sources.logs import sync_reports
@@ -190,7 +190,7 @@ def b_gyro_magnitude(spark, sf_dir):
 
 
 def _series(spark, sf_dir, kind: str, *names: str) -> DataFrame:
-    base = {"v": F.col("value"), "angle": F.pmod(F.col("value") * 7, F.lit(360.0))}
+    base = {"v": F.col("value"), "angle": turned(F.col("value") * 7)}
     return events(spark, sf_dir).where(F.col("event_type") == kind).select("user_id", "t", "event_id", *[base[n].alias(n) for n in names])
 
 
