@@ -213,8 +213,8 @@ def b_nav_fusion(spark, sf_dir):
     from purchases."""
     e = events(spark, sf_dir).withColumns({"flight": F.col("user_id"), "line_no": F.col("event_id")})
     v = F.col("value")
-    ahr = e.where("event_type = 'view'").select("flight", "line_no", "t", v.alias("latitude"), (v * 2).alias("longitude"), F.when(F.col("line_no") % 4 == 0, 0.0).otherwise(v).alias("altitude_m"), F.pmod(v * 7, F.lit(360.0)).alias("yaw_deg"), (v / 2).alias("roll_deg"), (-v).alias("pitch_deg"))
-    gps = e.where("event_type = 'click'").select("flight", "line_no", "t", (v + 1).alias("latitude"), (v + 2).alias("longitude"), (v + 3).alias("altitude_m"), (v / 4).alias("gps_speed_mps"), F.pmod(v * 11, F.lit(360.0)).alias("gps_course_deg"))
+    ahr = e.where("event_type = 'view'").select("flight", "line_no", "t", v.alias("latitude"), (v * 2).alias("longitude"), F.when(F.col("line_no") % 4 == 0, 0.0).otherwise(v).alias("altitude_m"), turned(v * 7).alias("yaw_deg"), (v / 2).alias("roll_deg"), (-v).alias("pitch_deg"))
+    gps = e.where("event_type = 'click'").select("flight", "line_no", "t", (v + 1).alias("latitude"), (v + 2).alias("longitude"), (v + 3).alias("altitude_m"), (v / 4).alias("gps_speed_mps"), turned(v * 11).alias("gps_course_deg"))
     imu = e.where("event_type = 'purchase'").select("flight", "line_no", "t", v.alias("imu_gyro_magnitude"))
     probes = e.select(F.col("event_id").alias("probe"), "flight", "t")
     out = timeseries.fuse_navigation(probes, ahr, gps, imu)

@@ -30,3 +30,7 @@ def differing(spark, folder, name):
 
 def test_asof_angle(spark, opposite):
     assert not differing(spark, opposite, "b_asof_angle")
+
+
+def test_nav_fusion(spark, opposite):
+    assert not differing(spark, opposite, "b_nav_fusion")
