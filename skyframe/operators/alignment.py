@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import file_stamp_us
+from .intervals import Intervals
 
 _US = 1_000_000
 
@@ -38,8 +39,10 @@ def resolve_starts(videos: DataFrame, reports: DataFrame, offset_hours: float =
     return out.select(*videos.columns, found.alias("start_us"), source.alias("start_source"))
 
 
-#: Logs that may be held by every task (24 bytes each).
-FEW_LOGS = 20_000
+#: Logs that a task may hold (some 400 bytes each).
+FEW_LOGS = 100_000
+#: Videos that are dealt together to one piece of many logs.
+_SLICE = 2_000_000
 _CHOSEN = ("log_file", "folder", "log_start_us", "log_end_us", "overlap_sec")
 
 
@@ -50,23 +53,18 @@ def choose_logs(videos: DataFrame, logs: DataFrame, few_logs: int = FEW_LOGS) ->
     without a start have no row, of repeated ones the earliest start counts; logs
     have a start, an end and an ``ord`` each.
 
-    With few logs (a count decides) each task holds their times as arrays and looks
-    up each video there.  Beyond that each video meets only logs that share a time
-    bucket with it or are nearest, which as-of lookups find; both ways choose the
-    same log.
+    With few logs (a count decides) each task holds their times and searches them
+    (:class:`Intervals`), in the same time however many overlap a video.  Beyond that
+    logs are dealt to pieces of so many; each piece chooses for each video, and the
+    best of these is taken.  Both ways choose the same log.
     """
     end = F.col("start_us") + F.bround(F.col("duration_sec") * _US).cast("bigint")
-    asked = videos.where("start_us is not null").groupBy("video").agg(F.min(F.struct("start_us", end.alias("_end"))).alias("v")).select("video", "v.*")
-    if logs.count() <= few_logs:
-        return _choose_in_memory(asked, logs)
-    pairs = asked.join(_near_logs(videos, logs), "video")
-    shared = F.least("_end", "end_us") - F.greatest("start_us", "log_start_us")
-    overlap_us = F.when(F.col("_end").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), shared)).cast("bigint")
-    from_start, from_end = F.abs(F.col("log_start_us") - F.col("start_us")), F.abs(F.col("end_us") - F.col("start_us"))
-    holds = F.col("start_us").between(F.col("log_start_us"), F.col("end_us"))
-    key = F.struct((overlap_us > 0).alias("any"), overlap_us.alias("us"), holds.alias("holds"), (-from_start).alias("near"), (-F.least(from_start, from_end)).alias("edge"), (-F.col("ord")).alias("first"))
-    chosen = F.max_by(F.struct("log_file", "folder", F.col("log_start_us").alias("log_start_us"), F.col("end_us").alias("log_end_us"), (overlap_us / F.lit(_US)).alias("overlap_sec")), key)
-    return pairs.groupBy("video").agg(chosen.alias("c")).select("video", "c.*")
+    asked = videos.where("start_us is not null").groupBy("video").agg(F.min(F.struct("start_us", end.alias("_end"))).alias("v"))
+    asked = asked.select("video", "v.start_us", F.coalesce("v._end", "v.start_us").alias("_end"))
+    count = logs.count()
+    found = _choose_in_memory(asked, logs) if count <= few_logs else _choose_in_pieces(asked, logs, max(2, -(-count // FEW_LOGS)))
+    names = logs.select(F.col("ord").alias("_ord"), "log_file", "folder", F.col("log_start_us"), F.col("end_us").alias("log_end_us"))
+    return found.join(names, "_ord").select("video", *[(F.col("_us") / F.lit(_US)).alias(c) if c == "overlap_sec" else c for c in _CHOSEN])
 
 
 def require_logs(logs: DataFrame) -> DataFrame:
@@ -77,69 +75,62 @@ def require_logs(logs: DataFrame) -> DataFrame:
 
 
 def _choose_in_memory(asked: DataFrame, logs: DataFrame) -> DataFrame:
-    """The logs' times go along with the code, in the order that settles ties; names
-    are joined afterwards.  A repeated video is asked once."""
-    held = sorted((r["ord"], r["log_start_us"], r["end_us"]) for r in logs.select("ord", "log_start_us", "end_us").toLocalIterator())
-    ords, starts, ends = (np.array([h[c] for h in held], np.int64) for c in range(3))
-
-    def choose(start: int, end: int | None) -> tuple[int, int]:
-        """(place in the arrays, micros of overlap)."""
-        shared = np.maximum(0, np.minimum(end, ends) - np.maximum(start, starts)) if end is not None else np.zeros(len(held), np.int64)
-        most = int(shared.max())
-        left = np.flatnonzero(shared == most)
-        holds = (starts[left] <= start) & (start <= ends[left])
-        left = left[holds] if holds.any() else left
-        away = np.abs(starts[left] - start)
-        left = left[away == away.min()]
-        edge = np.minimum(np.abs(starts[left] - start), np.abs(ends[left] - start))
-        return int(left[edge.argmin()]), most
+    """``video, _ord, _us``.  The logs' times go along with the code."""
+    rows = [(r["log_start_us"], r["end_us"], r["ord"]) for r in logs.select("ord", "log_start_us", "end_us").toLocalIterator()]
+    held = tuple(np.array([r[c] for r in rows], np.int64) for c in range(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Intervals(*held) if len(held[0]) else None
         for batch in batches:
-            found = [choose(s, e) for s, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())] if held else []
-            n = len(found)
-            columns = [batch.column(0).slice(0, n), pa.array([int(ords[k]) for k, _ in found], pa.int64()), pa.array([us for _, us in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["video", "_ord", "_us"])
+            if index is None:
+                continue
+            place, us = index.choose(batch.column(1).to_numpy(), batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.ord[place]), pa.array(us)], ["video", "_ord", "_us"])
 
     kind = asked.schema["video"].dataType.simpleString()
-    found = asked.mapInArrow(run, f"video {kind}, _ord long, _us long")
-    names = logs.select(F.col("ord").alias("_ord"), "log_file", "folder", F.col("log_start_us"), F.col("end_us").alias("log_end_us"))
-    return found.join(names, "_ord").select("video", *[(F.col("_us") / F.lit(_US)).alias(c) if c == "overlap_sec" else c for c in _CHOSEN])
+    return asked.mapInArrow(run, f"video {kind}, _ord long, _us long")
+
+
+def _choose_in_pieces(asked: DataFrame, logs: DataFrame, pieces: int) -> DataFrame:
+    """``video, _ord, _us``.  Each video meets each piece of the logs once; a task
+    reads a piece, then the videos of a slice."""
+    slices = -(-asked.count() // _SLICE) or 1
+    kind = asked.schema["video"].dataType.simpleString()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = logs.select(F.pmod(F.xxhash64("ord"), F.lit(pieces)).cast("int").alias("_piece"), every(slices).alias("_slice"), F.lit(None).cast(kind).alias("video"), F.col("log_start_us").cast("long").alias("_from"), F.col("end_us").cast("long").alias("_to"), F.col("ord").cast("long").alias("_ord"))
+    probes = asked.select(every(pieces).alias("_piece"), F.pmod(F.xxhash64("video"), F.lit(slices)).cast("int").alias("_slice"), "video", F.col("start_us").alias("_from"), F.col("_end").alias("_to"), F.lit(None).cast("long").alias("_ord"))
+    dealt = held.unionByName(probes).repartition("_piece", "_slice").sortWithinPartitions("_piece", "_slice", F.col("_ord").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, index = None, [], None
+        for batch in batches:
+            piece, slice_, ord_ = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 5))
+            is_log = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(piece) != 0) | (np.diff(slice_) != 0) | (np.diff(is_log.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)]):
+                if a == b:
+                    continue
+                if (key := (piece[a], slice_[a])) != now:
+                    now, rows, index = key, [], None
+                start, end = (batch.column(k).slice(a, b - a).to_numpy() for k in (3, 4))
+                if is_log[a]:
+                    rows.append((start, end, ord_[a:b].astype(np.int64)))
+                    continue
+                if rows and index is None:
+                    index = Intervals(*(np.concatenate(c) for c in zip(*rows)))
+                if index is None:
+                    continue
+                place, us = index.choose(start, end)
+                first, last = index.a[place], index.z[place]
+                away = np.abs(first - start)
+                columns = [-us, ~((first <= start) & (start <= last)), away, np.minimum(away, np.abs(last - start)), index.ord[place]]
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), *map(pa.array, columns)], ["video", "less", "misses", "away", "edge", "_ord"])
+
+    best = dealt.mapInArrow(run, f"video {kind}, less long, misses boolean, away long, edge long, _ord long")
+    best = best.groupBy("video").agg(F.min(F.struct("less", "misses", "away", "edge", "_ord")).alias("b"))
+    return best.select("video", "b._ord", (-F.col("b.less")).alias("_us"))
 
 
 def named_logs(index: DataFrame) -> DataFrame:
     """An index (``start_us`` of logs) in the form that :func:`choose_logs` takes."""
     return index.withColumnRenamed("start_us", "log_start_us")
-
-
-def _near_logs(videos: DataFrame, logs: DataFrame, least_us: int = 3_600_000_000) -> DataFrame:
-    """``video`` and log columns: all logs sharing a time bucket with the video, and
-    of the logs of the nearest start on either side those that can win.  A bucket is
-    as long as the mean log, so logs are dealt to three buckets each on average.
-
-    Only those matter beyond the shared buckets, as nearness of the start comes
-    first there.  Of the logs of one start either one with the nearest end wins, or,
-    if no end is nearer than the start, the first by ``ord``."""
-    from .timeseries import bracket
-
-    mean = logs.agg(F.avg(F.col("end_us") - F.col("log_start_us"))).first()[0]
-    bucket_us = max(least_us, int(mean or 0))
-
-    def buckets(a, b):
-        return F.explode(F.sequence(F.floor(a / bucket_us), F.floor(b / bucket_us)))
-
-    end = F.col("start_us") + F.coalesce(F.bround(F.col("duration_sec") * _US).cast("bigint"), F.lit(0))
-    asked = videos.select("video", buckets(F.col("start_us"), F.greatest(end, F.col("start_us"))).alias("bucket"))
-    held = logs.withColumn("bucket", buckets(F.col("log_start_us"), F.greatest("end_us", "log_start_us")))
-    sharing = asked.join(held, "bucket").drop("bucket")
-    columns = ["ord", "log_file", "folder", "log_start_us", "end_us"]
-    log = F.struct(*columns)
-    firsts = logs.groupBy("log_start_us", "end_us").agg(F.min_by(log, "ord").alias("log"))
-    starts = firsts.groupBy("log_start_us").agg(F.min_by("log", "log.ord").alias("first")).select(F.lit(0).alias("one"), F.col("log_start_us").alias("t"), "first")
-    probes = videos.where("start_us is not null").select(F.lit(0).alias("one"), F.col("start_us").alias("t"), "video").distinct()
-    around = bracket(starts, probes, "one", "t", ["first"]).select("video", F.col("t"), F.explode(F.array("lo", "hi")).alias("s")).where("s is not null")
-    nearest = around.select("video", "t", F.col("s.t").alias("log_start_us"), F.col("s.first").alias("first"))
-    ends = firsts.select("log_start_us", F.col("end_us").alias("t"), "log")
-    found = bracket(ends, nearest, "log_start_us", "t", ["log"])
-    near = found.select("video", F.explode(F.array("first", "lo.log", "hi.log")).alias("log")).where("log is not null")
-    return sharing.select("video", *columns).unionByName(near.select("video", "log.*")).distinct()
