@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,26 +71,152 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def mutual_matches(queries: DataFrame, references: DataFrame, threshold: float, group: list[str] = (), few: int = 5_000) -> DataFrame:
+#: Descriptors along a block's side, and rows of it that are compared at once.
+BLOCK, _ROWS = 16_384, 512
+
+
+def mutual_matches(queries: DataFrame, references: DataFrame, threshold: float, group: list[str] = (), block: int = BLOCK) -> DataFrame:
     """``group columns, query_id, ref_id, score``: pairs that are each other's nearest
     by dot product, scores of ``threshold`` or more; ties by the lower id.
 
     Inputs have ``id, desc`` (and the group columns, such as frame and tile, within
-    which descriptors are compared).  Descriptors of one image are bounded by the
-    extractor's keypoint limit, so a group is compared as a whole; the larger side
-    is never multiplied across groups.
+    which descriptors are compared); descriptors with a null in them and of unequal
+    lengths have no score, rows without an id are passed over.  A group's two sides
+    are dealt to blocks of bounded size.  A block gives each of its descriptors its
+    nearest, so no step gives out pairs; the nearest of all blocks are the matches.
+    """
+    keys = [*group, "_len"]
+    kind = "array<float>" if all(x.schema["desc"].dataType.simpleString() == "array<float>" for x in (queries, references)) else "array<double>"
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(rows: DataFrame) -> DataFrame:
+        whole = rows.where(F.col("id").isNotNull() & F.forall("desc", lambda v: v.isNotNull()))
+        return whole.select(*group, F.size("desc").alias("_len"), F.col("id").cast("long").alias("_id"), F.col("desc").cast(kind).alias("_desc"))
+
+    q, r = side(queries), side(references)
+    parts = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+    sizes = parts(q, "_nq").join(parts(r, "_nr"), keys)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    dealt = q.join(sizes, keys).select(*keys, own("_nq").alias("_x"), every("_nr").alias("_y"), F.lit(False).alias("_ref"), "_id", "_desc")
+    dealt = dealt.unionByName(r.join(sizes, keys).select(*keys, every("_nq").alias("_x"), own("_nr").alias("_y"), F.lit(True).alias("_ref"), "_id", "_desc"))
+    dealt = dealt.repartition(tasks, *keys, "_x", "_y").sortWithinPartitions(*keys, "_x", "_y")
+
+    kinds = ", ".join(f"`{g}` {queries.schema[g].dataType.simpleString()}" for g in group)
+    told = dealt.mapInArrow(lambda batches: _nearest_of_blocks(batches, len(group)), f"{kinds}{', ' if kinds else ''}_ref boolean, _id long, _other long, _score double")
+    best = told.groupBy(*group, "_ref", "_id").agg(F.max(F.struct("_score", (-F.col("_other")).alias("o"))).alias("b"))
+    # a pair that both of its ends name is mutual
+    pair = best.select(*group, "_ref", F.when(F.col("_ref"), -F.col("b.o")).otherwise(F.col("_id")).alias("query_id"), F.when(F.col("_ref"), F.col("_id")).otherwise(-F.col("b.o")).alias("ref_id"), "b._score")
+    named = pair.groupBy(*group, "query_id", "ref_id").agg(F.count("*").alias("_ends"), F.max("_score").alias("score")).where((F.col("_ends") == 2) & (F.col("score") >= threshold))
+    return named.select(*group, F.col("query_id").cast(queries.schema["id"].dataType), F.col("ref_id").cast(references.schema["id"].dataType), "score")
+
+
+def _nearest_of_blocks(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Columns: group, length, x, y, is it a reference, id, descriptor; rows of a block
+    one after the other.  Gives each row's nearest of the other side."""
+    for rows in _blocks(batches, groups + 3):
+        is_ref = rows.column(groups + 3).to_numpy()
+        ids = rows.column(groups + 4).to_numpy()
+        length = rows.column(groups)[0].as_py()
+        desc = rows.column(groups + 5).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), length)
+        if is_ref.all() or not is_ref.any():
+            continue
+        (q_ids, q, q_at), (r_ids, r, r_at) = (_distinct(ids[of], desc[of]) for of in (~is_ref, is_ref))
+        to_r, q_score, to_q, r_score = nearest_both_ways(q, r, q_ids, r_ids)
+        own = np.concatenate([ids[~is_ref], ids[is_ref]])
+        other = np.concatenate([r_ids[to_r][q_at], q_ids[to_q][r_at]])
+        score = np.concatenate([q_score[q_at], r_score[r_at]])
+        first = pa.array(np.zeros(len(own), np.int64))
+        columns = [rows.column(k).combine_chunks().take(first) for k in range(groups)]
+        columns += [pa.array(np.repeat([False, True], [len(q_at), len(r_at)])), pa.array(own), pa.array(other), pa.array(score, from_pandas=False)]
+        yield pa.RecordBatch.from_arrays(columns, [*rows.column_names[:groups], "_ref", "_id", "_other", "_score"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        names = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
+        cuts = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and names[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = names[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _distinct(ids: np.ndarray, desc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal descriptors one, with the least id: (ids, descriptors, each row's place)."""
+    raw = np.ascontiguousarray(desc).view(np.dtype((np.void, max(1, desc.shape[1] * 8)))).ravel() if desc.shape[1] else np.zeros(len(ids), "V1")
+    _, first, at = np.unique(raw, return_index=True, return_inverse=True)
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, at, ids)
+    return least, desc[first], at
+
+
+def _exact(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Dot products of chosen rows, summed from the first element on, as :func:`dot` does."""
+    out = np.zeros(len(at_a))
+    for k in range(a.shape[1]):
+        out += a[at_a, k] * b[at_b, k]
+    return out
+
+
+def _first_best(at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of candidates those that win at their place: greatest score (NaN above all),
+    then least id."""
+    order = np.lexsort((ids, -np.where(np.isnan(score), 0.0, score), ~np.isnan(score), at))
+    return order[np.append(True, np.diff(at[order]) != 0)]
+
+
+def nearest_both_ways(q: np.ndarray, r: np.ndarray, q_ids: np.ndarray, r_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``r`` of each ``q``'s greatest dot product and the product, and the
+    same of each ``r``; of equal products the least id.
+
+    A matrix product in single precision leaves those that its error allows to be the
+    greatest, mostly one; these are computed as :func:`dot` does.  Where its error has
+    no bound (odd magnitudes) all are.
     """
-    q = queries.select(*group, F.col("id").alias("query_id"), F.col("desc").alias("_q"))
-    r = references.select(*group, F.col("id").alias("ref_id"), F.col("desc").alias("_r"))
-    if group:
-        pairs = q.join(r, list(group))
-    else:
-        side = F.broadcast(r) if r.count() <= few else r
-        pairs = q.join(side, F.lit(True))
-    scored = pairs.select(*group, "query_id", "ref_id", dot(F.col("_q"), F.col("_r")).alias("score"))
-    best_r = scored.groupBy(*group, "query_id").agg(F.max_by(F.struct("ref_id", "score"), F.struct(F.col("score"), (-F.col("ref_id")).alias("o"))).alias("b")).select(*group, "query_id", "b.*")
-    best_q = scored.groupBy(*group, "ref_id").agg(F.max_by("query_id", F.struct(F.col("score"), (-F.col("query_id")).alias("o"))).alias("back"))
-    return best_r.join(best_q, [*group, "ref_id"]).where((F.col("back") == F.col("query_id")) & (F.col("score") >= threshold)).select(*group, "query_id", "ref_id", "score")
+    to_r, q_score = np.zeros(len(q), np.int64), np.full(len(q), -np.inf)
+    to_q, r_score = np.full(len(r), -1, np.int64), np.full(len(r), -np.inf)
+    with np.errstate(all="ignore"):
+        q_long, r_long = np.sqrt((q * q).sum(axis=1)), np.sqrt((r * r).sum(axis=1))
+        tame = all(((n == 0) | ((n > 1e-10) & (n < 1e10))).all() for n in (q_long, r_long))
+        unsure = (4 * q.shape[1] + 16) * np.finfo(np.float32).eps
+        q4, r4 = q.astype(np.float32), r.astype(np.float32)
+    for low in range(0, len(q), _ROWS):
+        rows = slice(low, low + _ROWS)
+        if tame:
+            near = q4[rows] @ r4.T
+            slack = unsure * q_long[rows]
+            at_q, at_r = np.nonzero(near >= (near.max(axis=1) - slack * r_long.max())[:, None])
+            gap = unsure * r_long * q_long[rows].max()
+            tops = near.max(axis=0)
+            late = np.flatnonzero(tops >= r_score - gap)  # others have a nearer one already
+            back_q, back = np.nonzero(near[:, late] >= (tops - gap)[late])
+            back_r = late[back]
+        else:
+            n = len(q4[rows])
+            at_q, at_r = (a.ravel() for a in np.indices((n, len(r))))
+            back_q, back_r = at_q, at_r
+        with np.errstate(all="ignore"):
+            score = _exact(q, low + at_q, r, at_r)
+            won = _first_best(at_q, score, r_ids[at_r])
+            to_r[low + at_q[won]], q_score[low + at_q[won]] = at_r[won], score[won]
+            score = _exact(q, low + back_q, r, back_r)
+        have = np.flatnonzero(to_q >= 0)
+        cand_r = np.concatenate([have, back_r])
+        cand_q = np.concatenate([to_q[have], low + back_q])
+        cand_s = np.concatenate([r_score[have], score])
+        won = _first_best(cand_r, cand_s, q_ids[cand_q])
+        to_q[cand_r[won]], r_score[cand_r[won]] = cand_q[won], cand_s[won]
+    return to_r, q_score, to_q, r_score
 
 
 # --- robust homographies -----------------------------------------------------
