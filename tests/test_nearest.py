@@ -1,8 +1,10 @@
 """Mutual nearest descriptors in blocks against plain comparison of all pairs."""
 
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from skyframe.operators import matching
@@ -58,3 +60,21 @@ def test_no_step_gives_out_pairs(spark):
     to_r, to_q = scores.argmax(axis=1), scores.argmax(axis=0)
     distinct = {(i, int(j)) for i, j in enumerate(to_r) if to_q[j] == i and i % 3 and turn[j] % 3}
     assert distinct <= pairs and len(pairs) > 1000
+
+
+def test_match_threshold_of_one_large_pair(spark, tmp_path):
+    """36,000,000 pairs in one group: one task took all of them before."""
+    from skyframe.plans import queries
+
+    n, rng = 12_000, np.random.default_rng(5)
+    desc = rng.normal(size=(n, 64)).astype(np.float32)
+    desc[n // 2 :] = desc[: n // 2] * np.float32(2)
+    rows = pd.DataFrame({"vec_id": np.arange(n), "embedding": desc.tolist(), "label": np.repeat([0, 5], n // 2)})
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    began = time.perf_counter()
+    got = queries.f_match_threshold(spark, str(tmp_path)).collect()
+    assert time.perf_counter() - began < 30
+    half = desc[: n // 2].astype(float)
+    scores = half @ (2 * half).T
+    assert [(r["pair"], r["match_count"]) for r in got] == [(0, int((scores.argmax(axis=0)[scores.argmax(axis=1)] == np.arange(n // 2)).sum()))]
+    assert abs(got[0]["best"] - scores.max()) < 1e-5
