@@ -259,7 +259,7 @@ def near_groups(docs: DataFrame, config: NearDupConfig, id_col: str = "doc_id",
     standing = signed.join(nodes.select(F.col("rep").alias("doc_id"), "class_key", "node"), ["doc_id", "class_key"]).dropDuplicates(["doc_id", "class_key"])
     standing = scratch.save(standing.drop("doc_id", "class_key"), "standing")
 
-    rows = scratch.save(standing.select(F.explode("bands").alias("bucket"), F.col("node").alias("member")), "rows")
+    rows = scratch.save(standing.select(F.explode("bands").alias("bucket"), F.col("node").alias("member"), "n_shingles"), "rows")
     buckets = rows.groupBy("bucket").agg(F.min("member").alias("leader"), F.max("member").alias("top"), F.count("*").alias("n"))
     buckets = scratch.save(buckets.where("leader != top").select("bucket", "leader", "n"), "buckets")
     several = scratch.save(rows.join(buckets, "bucket").where("member != leader"), "several")
@@ -310,10 +310,10 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _open_rows(several: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """``bucket, member, component`` of buckets whose members, leader apart, lie in
-    several components."""
-    rows = several.where("n > 2").select("bucket", "member").join(known.withColumnRenamed("node", "member"), "member", "left")
-    rows = scratch.save(rows.select("bucket", "member", F.coalesce("component", "member").alias("component")), "unsettled")
+    """``bucket, member, n_shingles, component`` of buckets whose members, leader
+    apart, lie in several components."""
+    rows = several.where("n > 2").select("bucket", "member", "n_shingles").join(known.withColumnRenamed("node", "member"), "member", "left")
+    rows = scratch.save(rows.select("bucket", "member", "n_shingles", F.coalesce("component", "member").alias("component")), "unsettled")
     open_ = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("bucket")
     return rows.join(scratch.save(open_, "open"), "bucket", "left_semi")
 
@@ -366,7 +366,7 @@ def _near_members(open_rows: DataFrame, standing: DataFrame, config: NearDupConf
     A pair counts in the first band that it shares; there it meets in this step or
     is a pair of the bucket's leader, which is judged before."""
     signed = standing.select(F.col("node").alias("member"), "n_shingles", "parity", "bands")
-    dealt = _blocks(open_rows.join(signed.select("member", "n_shingles"), "member"))
+    dealt = _blocks(open_rows)
     dealt = _in_blocks(dealt.drop("n_shingles").join(signed, "member"), "side", "member", "component", "n_shingles", "parity", "bands")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,3 +160,11 @@ def test_blocks_hold_each_pair_of_two_components_once(spark, monkeypatch):
     want = {(b, i, j) for b, i, c, _ in rows for b2, j, d, _ in rows if b == b2 and i < j and c != d}
     assert set(met) == want and set(met.values()) == {1}
     assert len([r for r in dealt if r["bucket"] == 5 and r["component"] == 0]) <= 40 * 4
+
+
+def test_rows_of_open_buckets_meet_their_signatures_once(spark):
+    """Each join of them makes a row for each member and band that it shares."""
+    open_rows = spark.createDataFrame([(1, 2, 5, 2), (1, 3, 5, 3)], "bucket long, member long, n_shingles long, component long")
+    standing = spark.createDataFrame([], "node long, n_shingles long, odd binary, parity binary, bands array<long>")
+    plan = minhash_dedup._near_members(open_rows, standing, NearDupConfig(5, 80))._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Join" in line and "(member#" in line]) == 1
