@@ -71,8 +71,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-#: Descriptors along a block's side, and rows of it that are compared at once.
-BLOCK, _ROWS = 16_384, 512
+#: Descriptors along a block's side, and of it along that of a tile, whose products
+#: stay in a core's cache.
+BLOCK, _TILE = 32_768, 512
 
 
 def mutual_matches(queries: DataFrame, references: DataFrame, threshold: float, group: list[str] = (), block: int = BLOCK) -> DataFrame:
@@ -81,25 +82,40 @@ def mutual_matches(queries: DataFrame, references: DataFrame, threshold: float,
 
     Inputs have ``id, desc`` (and the group columns, such as frame and tile, within
     which descriptors are compared); descriptors with a null in them and of unequal
-    lengths have no score, rows without an id are passed over.  A group's two sides
-    are dealt to blocks of bounded size.  A block gives each of its descriptors its
-    nearest, so no step gives out pairs; the nearest of all blocks are the matches.
+    lengths have no score, rows without an id are passed over.  Of a side's equal
+    descriptors only that of the least id can be in a pair, so others are left out
+    first (not those whose id has several descriptors).  A group's two sides are dealt
+    to blocks of bounded size.  A block gives each of its descriptors its nearest, so
+    no step gives out pairs; the nearest of all blocks are the matches.
     """
     keys = [*group, "_len"]
     kind = "array<float>" if all(x.schema["desc"].dataType.simpleString() == "array<float>" for x in (queries, references)) else "array<double>"
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def side(rows: DataFrame) -> DataFrame:
-        whole = rows.where(F.col("id").isNotNull() & F.forall("desc", lambda v: v.isNotNull()))
-        return whole.select(*group, F.size("desc").alias("_len"), F.col("id").cast("long").alias("_id"), F.col("desc").cast(kind).alias("_desc"))
-
-    q, r = side(queries), side(references)
-    parts = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
-    sizes = parts(q, "_nq").join(parts(r, "_nr"), keys)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
-    dealt = q.join(sizes, keys).select(*keys, own("_nq").alias("_x"), every("_nr").alias("_y"), F.lit(False).alias("_ref"), "_id", "_desc")
-    dealt = dealt.unionByName(r.join(sizes, keys).select(*keys, every("_nq").alias("_x"), own("_nr").alias("_y"), F.lit(True).alias("_ref"), "_id", "_desc"))
+
+    def side(rows: DataFrame, ref: bool) -> DataFrame:
+        whole = rows.where(F.col("id").isNotNull() & F.col("desc").isNotNull())
+        return whole.select(*group, F.size("desc").alias("_len"), F.lit(ref).alias("_ref"), F.col("id").cast("long").alias("_id"), F.col("desc").cast(kind).alias("_desc"))
+
+    rows = side(queries, False).unionByName(side(references, True))
+    least = rows.groupBy(*keys, "_ref", "_desc").agg(F.min("_id").alias("_id")).select(rows.columns)
+    several = rows.groupBy(*group, "_ref", "_id").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    if several.take(1):
+        same = F.lit(True)
+        for c in (*group, "_ref", "_id"):
+            same &= F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}"))
+        least = least.unionByName(rows.alias("m").join(several.alias("s"), same, "left_semi"))
+
+    def parts(of: DataFrame) -> DataFrame:
+        n = lambda ref: F.ceil(F.count(F.when(F.col("_ref") == ref, 1)) / F.lit(block)).cast("int")
+        return of.groupBy(*keys).agg(n(False).alias("_nq"), n(True).alias("_nr")).where("_nq > 0 and _nr > 0")
+
+    # a task more than there are blocks would only start a worker; those of all rows bound them
+    blocks = parts(rows).agg(F.sum(F.col("_nq").cast("long") * F.col("_nr"))).first()[0] or 0
+    tasks = max(1, min(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * blocks))
+    own = lambda n: F.array(F.pmod(F.xxhash64("_id"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    placed = least.join(parts(least), keys)
+    placed = placed.withColumns({"_xs": F.when(F.col("_ref"), every("_nq")).otherwise(own("_nq")), "_ys": F.when(F.col("_ref"), own("_nr")).otherwise(every("_nr"))})
+    dealt = placed.withColumn("_x", F.explode("_xs")).withColumn("_y", F.explode("_ys")).select(*keys, "_x", "_y", "_ref", "_id", "_desc")
     dealt = dealt.repartition(tasks, *keys, "_x", "_y").sortWithinPartitions(*keys, "_x", "_y")
 
     kinds = ", ".join(f"`{g}` {queries.schema[g].dataType.simpleString()}" for g in group)
@@ -115,10 +131,15 @@ def _nearest_of_blocks(batches: Iterator[pa.RecordBatch], groups: int) -> Iterat
     """Columns: group, length, x, y, is it a reference, id, descriptor; rows of a block
     one after the other.  Gives each row's nearest of the other side."""
     for rows in _blocks(batches, groups + 3):
+        desc = rows.column(groups + 5).combine_chunks()
+        length = rows.column(groups)[0].as_py()
+        if desc.flatten().null_count:
+            known = desc.flatten().is_valid().to_numpy(zero_copy_only=False).reshape(len(rows), length).all(axis=1)
+            rows = rows.filter(pa.array(known))
+            desc = rows.column(groups + 5).combine_chunks()
         is_ref = rows.column(groups + 3).to_numpy()
         ids = rows.column(groups + 4).to_numpy()
-        length = rows.column(groups)[0].as_py()
-        desc = rows.column(groups + 5).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), length)
+        desc = desc.flatten().to_numpy().astype(np.float64).reshape(len(ids), length)
         if is_ref.all() or not is_ref.any():
             continue
         (q_ids, q, q_at), (r_ids, r, r_at) = (_distinct(ids[of], desc[of]) for of in (~is_ref, is_ref))
@@ -137,16 +158,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        names = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
-        cuts = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows - 1, bool)
+        for k in range(keys):
+            code = batch.column(k).dictionary_encode("encode").indices.to_numpy()
+            new |= code[1:] != code[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if held and names[a] != last:
+            name = [batch.column(k)[a].as_py() for k in range(keys)]
+            if held and name != last:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
-            last = names[a]
+            last = name
     if held:
         yield pa.Table.from_batches(held)
 
@@ -179,44 +204,57 @@ def nearest_both_ways(q: np.ndarray, r: np.ndarray, q_ids: np.ndarray, r_ids: np
     """Places in ``r`` of each ``q``'s greatest dot product and the product, and the
     same of each ``r``; of equal products the least id.
 
-    A matrix product in single precision leaves those that its error allows to be the
-    greatest, mostly one; these are computed as :func:`dot` does.  Where its error has
-    no bound (odd magnitudes) all are.
+    Products in single precision, tile by tile, tell the greatest of each row and
+    column of a tile.  Only tiles whose greatest its error allows to be that of the
+    whole row (column) are computed once more for it, mostly one; what the error allows
+    there is computed as :func:`dot` does.  Where the error has no bound (odd
+    magnitudes) all are.
     """
-    to_r, q_score = np.zeros(len(q), np.int64), np.full(len(q), -np.inf)
-    to_q, r_score = np.full(len(r), -1, np.int64), np.full(len(r), -np.inf)
     with np.errstate(all="ignore"):
         q_long, r_long = np.sqrt((q * q).sum(axis=1)), np.sqrt((r * r).sum(axis=1))
         tame = all(((n == 0) | ((n > 1e-10) & (n < 1e10))).all() for n in (q_long, r_long))
-        unsure = (4 * q.shape[1] + 16) * np.finfo(np.float32).eps
         q4, r4 = q.astype(np.float32), r.astype(np.float32)
-    for low in range(0, len(q), _ROWS):
-        rows = slice(low, low + _ROWS)
-        if tame:
-            near = q4[rows] @ r4.T
-            slack = unsure * q_long[rows]
-            at_q, at_r = np.nonzero(near >= (near.max(axis=1) - slack * r_long.max())[:, None])
-            gap = unsure * r_long * q_long[rows].max()
-            tops = near.max(axis=0)
-            late = np.flatnonzero(tops >= r_score - gap)  # others have a nearer one already
-            back_q, back = np.nonzero(near[:, late] >= (tops - gap)[late])
-            back_r = late[back]
-        else:
-            n = len(q4[rows])
-            at_q, at_r = (a.ravel() for a in np.indices((n, len(r))))
-            back_q, back_r = at_q, at_r
+    q_best, r_best = _Best(q, r, r_ids), _Best(r, q, q_ids)
+    if not tame:
+        for low in range(0, len(q), _TILE):
+            at_q, at_r = (a.ravel() for a in np.indices((len(q4[low : low + _TILE]), len(r))))
+            q_best.offer(low + at_q, at_r)
+            r_best.offer(at_r, low + at_q)
+        return q_best.at, q_best.score, r_best.at, r_best.score
+    unsure = (4 * q.shape[1] + 16) * np.finfo(np.float32).eps
+    q_lows, r_lows = range(0, len(q), _TILE), range(0, len(r), _TILE)
+    q_tops, r_tops = np.empty((len(r_lows), len(q)), np.float32), np.empty((len(q_lows), len(r)), np.float32)
+    for i, a in enumerate(q_lows):
+        for j, b in enumerate(r_lows):
+            near = q4[a : a + _TILE] @ r4[b : b + _TILE].T
+            near.max(axis=1, out=q_tops[j, a : a + _TILE])
+            near.max(axis=0, out=r_tops[i, b : b + _TILE])
+    for best, own, other, tops, gap in ((q_best, q4, r4, q_tops, unsure * q_long * r_long.max()), (r_best, r4, q4, r_tops, unsure * r_long * q_long.max())):
+        floor = tops.max(axis=0) - gap
+        for j, top in enumerate(tops):
+            rows = np.flatnonzero(top >= floor)
+            for low in range(0, len(rows), 4 * _TILE):
+                some = rows[low : low + 4 * _TILE]
+                at, to = np.nonzero(own[some] @ other[j * _TILE : (j + 1) * _TILE].T >= floor[some][:, None])
+                best.offer(some[at], j * _TILE + to)
+    return q_best.at, q_best.score, r_best.at, r_best.score
+
+
+class _Best:
+    """The nearest so far of each of ``own`` among ``other``."""
+
+    def __init__(self, own: np.ndarray, other: np.ndarray, other_ids: np.ndarray) -> None:
+        self.own, self.other, self.ids = own, other, other_ids
+        self.at, self.score = np.full(len(own), -1, np.int64), np.full(len(own), -np.inf)
+
+    def offer(self, rows: np.ndarray, to: np.ndarray) -> None:
         with np.errstate(all="ignore"):
-            score = _exact(q, low + at_q, r, at_r)
-            won = _first_best(at_q, score, r_ids[at_r])
-            to_r[low + at_q[won]], q_score[low + at_q[won]] = at_r[won], score[won]
-            score = _exact(q, low + back_q, r, back_r)
-        have = np.flatnonzero(to_q >= 0)
-        cand_r = np.concatenate([have, back_r])
-        cand_q = np.concatenate([to_q[have], low + back_q])
-        cand_s = np.concatenate([r_score[have], score])
-        won = _first_best(cand_r, cand_s, q_ids[cand_q])
-        to_q[cand_r[won]], r_score[cand_r[won]] = cand_q[won], cand_s[won]
-    return to_r, q_score, to_q, r_score
+            score = _exact(self.own, rows, self.other, to)
+        have = np.unique(rows)
+        have = have[self.at[have] >= 0]
+        rows, to, score = np.concatenate([have, rows]), np.concatenate([self.at[have], to]), np.concatenate([self.score[have], score])
+        won = _first_best(rows, score, self.ids[to])
+        self.at[rows[won]], self.score[rows[won]] = to[won], score[won]
 
 
 # --- robust homographies -----------------------------------------------------

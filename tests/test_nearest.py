@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,24 @@ def test_against_all_pairs(spark, case, block):
     assert sorted(map(tuple, got.collect())) == plain(*sides, 0.0)
 
 
+@pytest.mark.parametrize("draw", ["normal", "ties"])
+def test_tiles_hold_few_products(draw):
+    """Products of 512 rows with all references were held at once before (100 MB here)."""
+    rng = np.random.default_rng(8)
+    q, r = (rng.normal(size=(n, 12)) if draw == "normal" else rng.integers(-1, 2, (n, 12)).astype(float) for n in (1100, 40_000))
+    q_ids, r_ids = rng.permutation(len(q)), rng.permutation(len(r))
+    tracemalloc.start()
+    to_r, q_score, to_q, r_score = matching.nearest_both_ways(q, r, q_ids, r_ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    scores = sum(q[:, k][:, None] * r[:, k] for k in range(12))
+    assert (q_score == scores.max(axis=1)).all() and (r_score == scores.max(axis=0)).all()
+    least = lambda ids, of: np.where(of, ids, 1 << 40).min(axis=1)
+    assert (r_ids[to_r] == least(r_ids, scores == q_score[:, None])).all()
+    assert (q_ids[to_q] == least(q_ids, (scores == r_score).T)).all()
+    assert draw == "ties" or most < 40e6
+
+
 def test_no_step_gives_out_pairs(spark):
     """Twice 6000 descriptors, a third of them copies of one: 36,000,000 pairs."""
     rng = np.random.default_rng(3)
