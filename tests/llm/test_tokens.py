@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow.fs as pafs
 import pytest
 
-from skyframe.llm import id_coder, packing, token_fst
+from skyframe.llm import id_coder, packing, token_fst, tokens
 from skyframe.llm.store import Scratch
 from skyframe.llm.token_fst import BpeTransducer, token_counts, transducer
 from skyframe.llm.tokens import library, tokenizer_path, word_level
@@ -38,6 +38,35 @@ def test_ids_are_the_library_s(texts):
     assert word_level(tokenizer_path(WORD)).encode(texts) == [x.tobytes() for x in library_ids(WORD, texts)]
 
 
+def test_the_library_gets_each_word_once():
+    """Each unit was encoded, with its signs and capitals: most of op5's tokenization."""
+
+    class Counted:
+        words: list[str] = []
+
+        def encode_batch_fast(self, some, **options):
+            self.words += [w for text in some for w in text.split()]
+            return own.encode_batch_fast(some, **options)
+
+    units = tokens.WordIds(tokenizer_path(WORD))
+    own, units.tokenizer = units.tokenizer, Counted()
+    given = ["Nevező, nevező. (NEVEZő", "nevező; nevező...", None, "", "a-nevező: it's"]
+    for _ in range(2):
+        assert units.encode(given) == [x.tobytes() for x in library_ids(WORD, given)]
+    assert sorted(Counted.words) == sorted(["nevező", ",", ".", "(", ";", "...", "a", "-", ":", "it's"])
+
+
+def test_kept_words_are_bounded(texts, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 60)
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 400)
+    monkeypatch.setattr(tokens, "_SEAT_BITS", 3)  # seats clash, and are too few
+    rng = random.Random(6)
+    some = texts[-400:] + ["".join(rng.choices("abcdEFGéß-.,<' 1\n", k=rng.randint(0, 300))) for _ in range(200)] + ["", None, "Ab" * 9, "q" * 17, "Ⱥɏ Ɏ", "İi", "a\x00b a\x00", "<|ENDOFTEXT|> x<|endoftext|>"]
+    units = tokens.WordIds(tokenizer_path(WORD))
+    assert units.encode(some) == [x.tobytes() for x in library_ids(WORD, some)]
+    assert units.encode([None, ""]) == [b"", b""] and units.encode([]) == []
+
+
 def test_the_library_holds_one_text_at_once(texts):
     """Encodings of 1024 texts at once took some 120 MB more of a worker."""
 
@@ -148,6 +177,17 @@ def test_blocks_round_trip():
         id_coder.encode_blocks(np.array([70_000], np.uint32))
 
 
+def test_blocks_share_what_a_file_is_fitted_to():
+    """Each block began with an empty model, of which its first ids had nothing."""
+    ids = np.tile(np.random.default_rng(6).permutation(40_000)[:3000], 40).astype(np.uint32)
+    blocks = id_coder.encode_blocks(ids)
+    assert 16 * sum(map(len, blocks)) < len(ids) * 2
+    assert (id_coder.decode_blocks(blocks[20:], id_coder._blocks(len(ids))[20:]) == ids[20 * 4096 :]).all()
+    for n in (1, 2, 3, 4095, 4097, 4099, 8190):
+        back = id_coder.unpack_file(id_coder.pack_file([7], [n], ids[:n]))[2]
+        assert (back == ids[:n]).all()
+
+
 def test_blocks_stand_alone_and_are_checked():
     ids = np.random.default_rng(5).integers(0, 900, 10_000).astype("<u4")
     blocks, sizes = id_coder.encode_blocks(ids), id_coder._blocks(10_000)
